@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranking import top_positions
+
 
 def ranked(truth: DataFrame, pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``row_id, *by, t, p``: distinct true labels and the ranking; without nulls."""
@@ -26,12 +28,19 @@ def ranked(truth: DataFrame, pred: DataFrame, by: list[str] | None = None) -> Da
 
 
 def from_scores(scores: DataFrame, by: list[str] | None = None, k: int | None = None) -> DataFrame:
-    """Long ``row_id, *by, label, score`` -> rankings by score descending, label ascending."""
+    """Long ``row_id, *by, label, score`` -> rankings by score descending, label ascending.
+
+    With ``k`` only the first k of each row are kept, found by a global sort, so a row
+    may have any number of scored labels; null and NaN scores are left out.
+    """
     by = by or []
-    best = F.reverse(F.array_sort(F.collect_list(F.struct("score", (-F.col("label")).alias("n")))))
-    ranks = scores.groupBy("row_id", *by).agg(best.alias("r"))
-    labels = F.transform("r", lambda x: (-x.n).cast("int"))
-    return ranks.select("row_id", *by, (F.slice(labels, 1, k) if k else labels).alias("labels"))
+    s = scores.select("row_id", *by, "label", "score").filter("label is not null and score is not null and not isnan(score)")
+    if k:
+        s = top_positions(s, ["row_id", *by], [F.col("score").desc(), F.col("label").asc()], k)
+        ranks = s.groupBy("row_id", *by).agg(F.array_sort(F.collect_list(F.struct("position", "label"))).alias("r"))
+    else:
+        ranks = s.groupBy("row_id", *by).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))).alias("r"))
+    return ranks.select("row_id", *by, F.col("r.label").alias("labels"))
 
 
 def _at(r: DataFrame, k: int) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..plans.stages import write_stage
 from .validated import ID, NUMBER
 
 
@@ -178,12 +175,3 @@ def dataset_stats(data: DataFrame) -> DataFrame:
     return d.agg(
         F.count(F.lit(1)).alias("rows"), F.sum("nf").alias("nnz"), (F.max("mf") + 1).alias("features"), (F.max("my") + 1).alias("labels"),
         F.sum("ny").alias("label_cells"), F.avg("ny").alias("avg_labels"), F.avg("nf").alias("avg_features"))
-
-
-def find_dataset_files(root: str, entry: dict, subset: str) -> str:
-    path = os.path.join(root, entry["name"], entry["subsets"][subset])
-    return path
-
-
-def stage(df: DataFrame) -> DataFrame:
-    return write_stage(df, "data")
