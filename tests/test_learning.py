@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thicket.models import BR, HSM, OVR, PLT, Model
+from thicket.models import BR, HSM, MACH, OVR, PLT, Model
 from thicket.operators import linear, predict
 from thicket.operators import metrics as mx
 from thicket.operators.extreme_text import predict_embedding_tree, train_embedding_tree
@@ -75,7 +75,7 @@ def p_at_1(spark, y, pred):
 
 @pytest.mark.parametrize("make", [
     lambda s: PLT(s, tree_type="completeKaryInOrder"), lambda s: PLT(s, tree_type="huffman", optimizer="adagrad", epochs=3), lambda s: PLT(s, max_leaves=2),
-    lambda s: HSM(s, tree_type="completeKaryInOrder", arity=3), lambda s: BR(s), lambda s: OVR(s, loss="logistic"), lambda s: BR(s, loss="squaredHinge")])
+    lambda s: HSM(s, tree_type="completeKaryInOrder", arity=3), lambda s: BR(s), lambda s: OVR(s, loss="logistic"), lambda s: BR(s, loss="squaredHinge"), lambda s: MACH(s, hashes=4, buckets=5)])
 def test_models_learn(spark, make):
     x, y = blobs(spark)
     m = make(spark).fit(x, y)
@@ -203,3 +203,15 @@ def test_hsm_scores_sum_to_the_root(spark):
     m = HSM(spark, tree_type="completeKaryInOrder", arity=3).fit(x, y)
     s = m.predict_proba(x, top_k=0).groupBy("row_id").agg(F.sum("score").alias("s")).collect()
     assert all(r["s"] == pytest.approx(1 / (1 + np.exp(-10)), abs=1e-9) for r in s)
+
+
+def test_streamed_precision_equals_batch(spark, tmp_path):
+    from thicket.streaming.metrics import precision_stream, read_result
+
+    x, y = blobs(spark, 80, 4)
+    truth = spark.createDataFrame(list(enumerate(y)), "row_id long, labels array<int>")
+    pred = spark.createDataFrame([(i, [i % 4, (i + 1) % 4]) for i in range(80)], "row_id long, labels array<int>")
+    pred.repartition(5).write.parquet(str(tmp_path / "p"))
+    stream = spark.readStream.schema(pred.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "p"))
+    got = {r["k"]: r["precision"] for r in read_result(precision_stream(stream, truth, 2)).collect()}
+    assert got == {r["k"]: round(r["precision"], 6) for r in mx.precision_at_k(truth, pred, 2).collect()}

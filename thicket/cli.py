@@ -13,11 +13,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .models import BR, HSM, OVR, PLT, Model
+from .models import BR, HSM, MACH, OVR, PLT, Model
 from .operators import metrics as mx
 from .sources.files import read_libsvm, write_predictions, write_vector
 
-KINDS = {"plt": PLT, "hsm": HSM, "br": BR, "ovr": OVR}
+KINDS = {"plt": PLT, "hsm": HSM, "br": BR, "ovr": OVR, "mach": MACH}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
         ("tmax", int, -1), ("l2Penalty", float, 0.0), ("adagradEps", float, 0.001), ("arity", int, 2), ("treeType", str, "hierarchicalKmeans"), ("maxLeaves", int, 100), ("flattenTree", int, 0),
         ("kmeansEps", float, 0.0001), ("kmeansBalanced", int, 1), ("topK", int, None), ("threshold", float, 0.0), ("treeSearchType", str, "exact"), ("beamSearchWidth", int, 10),
         ("startRow", int, None), ("endRow", int, None), ("metrics", str, "p@1,p@3,p@5"), ("ofoType", str, "micro"), ("ofoA", float, 10.0), ("ofoB", float, 20.0), ("ofoTopLabels", int, 1000),
-        ("labelsWeights", str, None), ("thresholds", str, None), ("pickOneLabelWeighting", int, 1),
+        ("labelsWeights", str, None), ("thresholds", str, None), ("pickOneLabelWeighting", int, 1), ("machHashes", int, 10), ("machBuckets", int, 100),
     ):
         p.add_argument(f"--{flag}", type=kind, default=default)
     return p
@@ -47,6 +47,8 @@ def build(spark: SparkSession, a) -> Model:
         kw.update(tree_type=a.treeType, arity=a.arity, max_leaves=a.maxLeaves, flatten_tree=a.flattenTree, kmeans_eps=a.kmeansEps, kmeans_balanced=bool(a.kmeansBalanced))
     if a.model == "plt":
         kw.update(tree_search_type=a.treeSearchType, beam_search_width=a.beamSearchWidth)
+    if a.model == "mach":
+        kw.update(hashes=a.machHashes, buckets=a.machBuckets)
     if a.model in ("hsm", "ovr"):
         kw["pick_one_label_weighting"] = bool(a.pickOneLabelWeighting)
     return KINDS[a.model](spark, **kw)

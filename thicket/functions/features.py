@@ -23,11 +23,29 @@ def clean(features: Column) -> Column:
     return F.coalesce(F.filter(features, lambda f: f.isNotNull() & f["idx"].isNotNull() & f["val"].isNotNull()), empty)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _add_up(srt: Column) -> Column:
+    """Neighbours with equal index of a sorted vector become their sum, in one fold."""
+    start = F.struct(F.slice(srt, 1, 0).alias("done"), F.get(srt, F.lit(0)).alias("last"))
+
+    def step(acc, f):
+        same = acc["last"]["idx"] == f["idx"]
+        return F.struct(
+            F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))).alias("done"),
+            F.when(same, _pair(f["idx"], acc["last"]["val"] + f["val"])).otherwise(f).alias("last"),
+        )
+
+    return F.aggregate(F.slice(srt, F.lit(2), F.greatest(F.size(srt) - 1, F.lit(0))), start, step, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+
+
 def combine(features: Column) -> Column:
     """Sorted by index, with the values of a repeated index added up, zeros dropped."""
-    srt = F.array_sort(clean(features))
-    ids = F.array_distinct(F.transform(srt, lambda f: f["idx"]))
-    summed = F.transform(ids, lambda i: _pair(i, F.aggregate(F.filter(srt, lambda f: f["idx"] == i), F.lit(0.0), lambda a, f: a + f["val"])))
+    distinct = lambda s: F.size(F.array_distinct(F.transform(s, lambda f: f["idx"]))) == F.size(s)
+    summed = let(F.array_sort(clean(features)), lambda s: F.when(distinct(s), s).otherwise(_add_up(s)))
     return F.filter(summed, lambda f: f["val"] != 0)
 
 
@@ -59,8 +77,8 @@ def l2_norm(features: Column) -> Column:
 
 def unit_norm(features: Column) -> Column:
     """Divided by the length without the bias; a zero vector stays as it is."""
-    n = l2_norm(features)
-    return F.transform(features, lambda f: F.when((n == 0) | (f["idx"] == BIAS), f).otherwise(_pair(f["idx"], F.try_divide(f["val"], n))))
+    scaled = lambda f, n: F.transform(f, lambda e: F.when((n == 0) | (e["idx"] == BIAS), e).otherwise(_pair(e["idx"], F.try_divide(e["val"], n))))
+    return let(features, lambda f: let(l2_norm(f), lambda n: scaled(f, n)))
 
 
 def threshold_abs(features: Column, t: float) -> Column:
@@ -81,15 +99,17 @@ def dense_to_sparse(values: Column) -> Column:
     return F.filter(F.transform(values, lambda v, i: _pair(i, v)), lambda f: f["val"] != 0)
 
 
+def _lookup(features: Column) -> Column:
+    return F.map_from_arrays(F.transform(features, lambda f: f["idx"]), F.transform(features, lambda f: f["val"]))
+
+
 def sparse_to_dense(features: Column, size: int) -> Column:
-    lookup = F.map_from_arrays(F.transform(features, lambda f: f["idx"]), F.transform(features, lambda f: f["val"]))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)))
+    return let(_lookup(features), lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
 
 
 def dot(a: Column, b: Column) -> Column:
     """Of two sparse vectors with distinct indexes."""
-    m = F.map_from_arrays(F.transform(b, lambda f: f["idx"]), F.transform(b, lambda f: f["val"]))
-    return F.aggregate(a, F.lit(0.0), lambda s, f: s + f["val"] * F.coalesce(F.try_element_at(m, f["idx"]), F.lit(0.0)))
+    return let(_lookup(b), lambda m: F.aggregate(a, F.lit(0.0), lambda s, f: s + f["val"] * F.coalesce(F.try_element_at(m, f["idx"]), F.lit(0.0))))
 
 
 def dot_dense(a: Column, b: Column) -> Column:

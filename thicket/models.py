@@ -1,4 +1,4 @@
-"""Estimators: PLT, HSM, BR and OVR with fit, predict and persistence.
+"""Estimators: PLT, HSM, BR, OVR and MACH with fit, predict and persistence.
 
 ``x`` and ``y`` are DataFrames (``row_id, features`` / ``row_id, labels``) or anything
 the adapters take.  Everything stays a DataFrame until the caller collects.
@@ -111,7 +111,7 @@ class Model:
     def load(spark: SparkSession, path: str) -> Model:
         c = json.loads(spark.read.text(f"{path}/config").first()[0])
         p = c["prep"]
-        m = {k.kind: k for k in (PLT, HSM, BR, OVR)}[c["kind"]](spark, bias=p["bias"], norm=p["norm"], hash=p["hash_size"], features_threshold=p["threshold"], ensemble=c["ensemble"], **c["options"], **c["extra"])
+        m = {k.kind: k for k in (PLT, HSM, BR, OVR, MACH)}[c["kind"]](spark, bias=p["bias"], norm=p["norm"], hash=p["hash_size"], features_threshold=p["threshold"], ensemble=c["ensemble"], **c["options"], **c["extra"])
         read = lambda i, t: spark.read.parquet(f"{path}/member_{i}/{t}")
         m.members = [(read(i, "tree") if c["tree"] else None, read(i, "models"), read(i, "weights")) for i in range(c["members"])]
         m.tree = m.members[0][0]
@@ -236,3 +236,40 @@ class OVR(BR):
         s = predict.ovr_predict(rows, member[1], member[2], 0, label_weights)
         number = isinstance(threshold, (int, float))
         return predict.top_k(predict.apply_thresholds(s, threshold if number else 0.0, None if number else threshold, strict=True), k)
+
+
+class MACH(Model):
+    """Merged averaged classifiers: one problem for each bucket of several label hashes."""
+
+    kind = "mach"
+
+    def _check_extra(self):
+        if set(self.extra) - {"hashes", "buckets", "m"}:
+            raise TypeError(f"unknown parameters: {sorted(self.extra)}")
+
+    def _family(self, seed):
+        return assign.mach_hashes(self.extra["m"], self.extra.get("hashes", 10), self.extra.get("buckets", 100), seed)
+
+    def _fit_member(self, data, options):
+        buckets = self.extra.get("buckets", 100)
+        top = data.agg(F.max(F.array_max("labels"))).first()[0]
+        self.extra["m"] = (top if top is not None else 0) + 1
+        family = self._family(options.seed)
+        bases = self.spark.range(len(family) * buckets).select(F.col("id").cast("int").alias("node_id"))
+        pos = assign.mach_assignment(data, family, buckets).select("row_id", (F.col("hash_no") * buckets + F.col("bucket")).alias("node_id"), "y")
+        # every row is an example of every bucket: rows x bases by the definition of the method
+        grid = data.select("row_id").join(bases, how="cross").join(pos, ["row_id", "node_id"], "left").select("node_id", "row_id", F.coalesce("y", F.lit(0)).alias("y"))
+        models, weights = train_problems(grid, data.select("row_id", "features"), options)
+        labels = self.spark.range(self.extra["m"]).select(F.col("id").cast("int").alias("label"))
+        table = assign.mach_buckets(labels, family, buckets)
+        tree = table.select("hash_no", "bucket", "label")
+        return write_stage(tree, "machtable"), models, weights
+
+    def _predict_member(self, rows, member, k, threshold, label_weights):
+        table, models, weights = member
+        buckets = self.extra.get("buckets", 100)
+        v = predict.all_values(rows, models, weights)
+        p = v.select("row_id", F.floor(F.col("node_id") / buckets).cast("int").alias("hash_no"), (F.col("node_id") % buckets).alias("bucket"), predict.probability(F.col("value"), self.options.loss).alias("p"))
+        s = predict.apply_label_terms(predict.mach_predict(p, table, 0), label_weights)
+        number = isinstance(threshold, (int, float))
+        return predict.top_k(predict.apply_thresholds(s, threshold if number else 0.0, None if number else threshold), k)
