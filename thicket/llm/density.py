@@ -123,42 +123,25 @@ class _Chunk:
         at = np.where(inside, at, 0)
         return np.where(inside, self.dim[at], -1), np.where(inside, self.val[at], 0.0)
 
-    def first_shared(self, i, j):
-        """Which similar pairs have their first common block here."""
-        keep = np.ones(len(i), bool)
+    def first_solo(self, i, j):
+        """Which pairs of a solo block have a dominated vector and share no earlier solo anchor."""
+        keep = np.zeros(len(i), bool)
         for k, (a, b) in enumerate(zip(i, j)):
-            ta, tb = self.tile[a, 0], self.tile[a, 1]
-            sa = self.solo[self.solo_start[a] : self.solo_start[a + 1]]
-            sb = self.solo[self.solo_start[b] : self.solo_start[b + 1]]
-            solo = [t for t in sa if t in sb] if self.dom[a] or self.dom[b] else []
-            if tb < 0:
-                keep[k] = bool(solo) and solo[0] == ta
-            elif solo:
-                keep[k] = False
-            else:
-                keep[k] = self._earlier(a, b, tb)
+            if self.dom[a] or self.dom[b]:
+                theirs = set(self.solo[self.solo_start[b] : self.solo_start[b + 1]].tolist())
+                first = next(t for t in self.solo[self.solo_start[a] : self.solo_start[a + 1]].tolist() if t in theirs)
+                keep[k] = first == self.tile[a, 0]
         return keep
 
-    def _earlier(self, a, b, tb):
-        x = self.tok[self.start[a] : self.start[a] + self.plen[a]]
-        y = self.tok[self.start[b] : self.start[b] + self.plen[b]]
-        seen = 0
-        y = set(y.tolist())
-        for t in x.tolist():
-            if t == tb:
-                break
-            seen += t in y
-        return seen == 1
-
 
 def _first_common(c: _Chunk, i, j):
-    """``first_shared`` for many pairs: prefixes as padded arrays."""
+    """Which similar pairs have their first common block here; prefixes as padded arrays."""
     if not len(i):
         return np.zeros(0, bool)
     keep = np.zeros(len(i), bool)
-    odd = c.dom[i] | c.dom[j] | (c.tile[i, 1] < 0)
+    odd = c.tile[i, 1] < 0
     if odd.any():
-        keep[odd] = c.first_shared(i[odd], j[odd])
+        keep[odd] = c.first_solo(i[odd], j[odd])
     rest = np.flatnonzero(~odd)
     rows = np.unique(np.r_[i[rest], j[rest]])
     if len(rows):
@@ -176,23 +159,24 @@ def _first_common(c: _Chunk, i, j):
     return keep
 
 
-def _similar_pairs(c: _Chunk, threshold: float):
-    """Index pairs (i, j, cosine) of similar rows that share a tile."""
+def _blocks_of(c: _Chunk):
+    """``(index pairs of all small tiles, row ranges of the crowded ones)``."""
     new = np.r_[True, (c.tile[1:] != c.tile[:-1]).any(1)]
     starts = np.flatnonzero(new)
     size = np.diff(np.r_[starts, c.n])
     pos = np.arange(c.n) - np.repeat(starts, size)
-    small = np.repeat(size <= SMALL, size)
-    rows = np.flatnonzero(small)
+    rows = np.flatnonzero(np.repeat(size <= SMALL, size))
     count = pos[rows]
     i = np.repeat(rows, count)
     j = i - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count))
-    cross = c.tile[i, 2] != c.tile[i, 3]
-    fit = ~cross | (c.sub[i] != c.sub[j])
-    i, j = i[fit], j[fit]
-    step = 4000
-    for s in range(0, len(i), step):
-        a, b = i[s : s + step], j[s : s + step]
+    fit = (c.tile[i, 2] == c.tile[i, 3]) | (c.sub[i] != c.sub[j])
+    return i[fit], j[fit], [(int(starts[g]), int(starts[g] + size[g])) for g in np.flatnonzero(size > SMALL)]
+
+
+def _small_tiles(c: _Chunk, i, j, threshold: float):
+    """Similar pairs ``(i, j, cosine)`` among the given ones whose first common block this is."""
+    for s in range(0, len(i), 4000):
+        a, b = i[s : s + 4000], j[s : s + 4000]
         ra, ia = np.unique(a, return_inverse=True)
         rb, ib = np.unique(b, return_inverse=True)
         ta, va = c.padded(ra)
@@ -200,34 +184,69 @@ def _similar_pairs(c: _Chunk, threshold: float):
         if ta.shape[1] * tb.shape[1] > 4096:  # long vectors: one pair at a time by merging
             cos = np.array([_dot(c, x, y) for x, y in zip(a, b)])
         else:
-            eq = ta[ia][:, :, None] == tb[ib][:, None, :]
-            cos = ((eq * vb[ib][:, None, :]).sum(2) * va[ia]).sum(1)
-        hit = cos >= threshold
-        yield a[hit], b[hit], cos[hit]
-    for g in np.flatnonzero(size > SMALL):
-        r = np.arange(starts[g], starts[g] + size[g])
-        left, right = (r, r) if c.tile[r[0], 2] == c.tile[r[0], 3] else (r[c.sub[r] == c.tile[r[0], 2]], r[c.sub[r] == c.tile[r[0], 3]])
-        if not len(left) or not len(right):
-            continue
-        lo, hi = c.start[r[0]], c.start[r[-1] + 1]
-        uniq, inv, many = np.unique(c.dim[lo:hi], return_inverse=True, return_counts=True)
-        slot = np.where(many > 1, np.cumsum(many > 1) - 1, -1)
-        width = c.start[r + 1] - c.start[r]
-        row, colm, v = np.repeat(np.arange(len(r)), width), slot[inv], c.val[lo:hi]
-        dense = np.zeros((len(r), max(1, int((many > 1).sum()))))
-        ok = colm >= 0
-        dense[row[ok], colm[ok]] = v[ok]
-        if left is right:
-            a, b = np.nonzero(np.triu(dense @ dense.T >= threshold - 1e-12, 1))
-            x, y = left[a], right[b]
-        else:
-            a, b = np.nonzero(dense[left - r[0]] @ dense[right - r[0]].T >= threshold - 1e-12)
-            x, y = left[a], right[b]
-        cos = np.einsum("ij,ij->i", dense[x - r[0]], dense[y - r[0]]) if len(x) < 200000 else None
-        if cos is None:
-            cos = np.concatenate([np.einsum("ij,ij->i", dense[x[s : s + 50000] - r[0]], dense[y[s : s + 50000] - r[0]]) for s in range(0, len(x), 50000)])
+            cos = (((ta[ia][:, :, None] == tb[ib][:, None, :]) * vb[ib][:, None, :]).sum(2) * va[ia]).sum(1)
         hit = cos >= threshold
-        yield x[hit], y[hit], cos[hit]
+        a, b, cos = a[hit], b[hit], cos[hit]
+        first = _first_common(c, a, b)
+        yield a[first], b[first], cos[first]
+
+
+def _crowded_tile(c: _Chunk, lo: int, hi: int, threshold: float):
+    """``(left rows, right rows, cosines, mask)`` of one tile by matrix products.
+
+    The mask has the similar pairs whose first common block this is: besides the
+    first anchor they share no earlier one, which a product of 0/1 prefixes counts.
+    """
+    r = np.arange(lo, hi)
+    r = r[np.argsort(c.p[r])]  # of equal cosines the smaller id is met first
+    same = c.tile[lo, 2] == c.tile[lo, 3]
+    left, right = (r, r) if same else (r[c.sub[r] == c.tile[lo, 2]], r[c.sub[r] == c.tile[lo, 3]])
+    if not len(left) or not len(right):
+        return None
+    at = slice(c.start[lo], c.start[hi])
+    row = np.repeat(np.arange(hi - lo), c.start[lo + 1 : hi + 1] - c.start[lo:hi])
+
+    def dense(names, row, value):
+        uniq, inv, many = np.unique(names, return_inverse=True, return_counts=True)
+        slot = np.cumsum(many > 1) - 1
+        out = np.zeros((hi - lo, max(1, int((many > 1).sum()))))
+        ok = many[inv] > 1
+        out[row[ok], slot[inv[ok]]] = value[ok]
+        return out
+
+    x = dense(c.dim[at], row, c.val[at])
+    cos = x[left - lo] @ x[right - lo].T
+    mask = cos >= threshold
+    if same:
+        np.fill_diagonal(mask, False)
+    ta, tb = c.tile[lo, 0], c.tile[lo, 1]
+    width = c.start[lo + 1 : hi + 1] - c.start[lo:hi]
+    if tb >= 0:
+        place = np.arange(c.start[lo], c.start[hi]) - np.repeat(c.start[lo:hi], width)
+        early = (place < np.repeat(c.plen[lo:hi], width)) & (c.ord[at] < _order(np.array([tb]))[0])
+        f = dense(c.tok[at][early], row[early], np.ones(int(early.sum())))
+        mask &= f[left - lo] @ f[right - lo].T == 1
+    else:  # a solo block compares the pairs with a dominated vector
+        own = slice(c.solo_start[lo], c.solo_start[hi])
+        srow = np.repeat(np.arange(hi - lo), c.solo_start[lo + 1 : hi + 1] - c.solo_start[lo:hi])
+        early = _order(c.solo[own]) < _order(np.array([ta]))[0]
+        f = dense(c.solo[own][early], srow[early], np.ones(int(early.sum())))
+        mask &= (c.dom[left][:, None] | c.dom[right][None, :]) & (f[left - lo] @ f[right - lo].T == 0)
+    return left, right, cos, mask
+
+
+def _tile_labels(mask, same: bool):
+    """Component labels of a tile's rows (left, then right) by spreading the least label."""
+    n, m = mask.shape
+    top = n + m
+    a = np.arange(n)
+    b = a if same else np.arange(n, n + m)
+    while True:
+        na = np.minimum(a, np.where(mask, b[None, :], top).min(1))
+        nb = na if same else np.minimum(b, np.where(mask, na[:, None], top).min(0))
+        if (na == a).all() and (nb == b).all():
+            return a if same else np.r_[a, b]
+        a, b = na, nb
 
 
 def _dot(c, a, b):
@@ -277,9 +296,15 @@ def density_clusters(points: DataFrame, threshold: float = 0.9) -> DataFrame:
     def count(batches):
         for c in _whole_tiles(batches, False):
             n = np.zeros(c.n, np.int64)
-            for i, j, _ in _similar_pairs(c, threshold):
-                first = _first_common(c, i, j)
-                n += np.bincount(i[first], minlength=c.n) + np.bincount(j[first], minlength=c.n)
+            i, j, crowded = _blocks_of(c)
+            for a, b, _ in _small_tiles(c, i, j, threshold):
+                n += np.bincount(a, minlength=c.n) + np.bincount(b, minlength=c.n)
+            for lo, hi in crowded:
+                if (t := _crowded_tile(c, lo, hi, threshold)) is not None:
+                    left, right, _, mask = t
+                    n[left] += mask.sum(1)
+                    if left is not right:
+                        n[right] += mask.sum(0)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(c.p[at]), pa.array(n[at])], names=["p", "rho"])
 
@@ -288,18 +313,36 @@ def density_clusters(points: DataFrame, threshold: float = 0.9) -> DataFrame:
     def climb(batches):
         for c in _whole_tiles(batches, True):
             best, to = np.full(c.n, -2.0), np.full(c.n, -1, np.int64)
-            label = np.arange(c.n)
+
+            def offer(rows, cosines, ids, best=best, to=to):
+                better = (cosines > best[rows]) | ((cosines == best[rows]) & (ids < to[rows]))
+                rows = rows[better]
+                best[rows], to[rows] = cosines[better], ids[better]
+
             edges = []
-            for i, j, cos in _similar_pairs(c, threshold):
-                up = (c.rho[i] > c.rho[j]) | ((c.rho[i] == c.rho[j]) & (c.p[i] < c.p[j]))
-                low, high = np.where(up, j, i), np.where(up, i, j)
+            i, j, crowded = _blocks_of(c)
+            for a, b, cos in _small_tiles(c, i, j, threshold):
+                up = (c.rho[a] > c.rho[b]) | ((c.rho[a] == c.rho[b]) & (c.p[a] < c.p[b]))
+                low, high = np.where(up, b, a), np.where(up, a, b)
                 o = np.lexsort((-c.p[high], cos, low))
-                low, high, cs = low[o], high[o], cos[o]
+                low, high, cos = low[o], high[o], cos[o]
                 last = np.r_[low[1:] != low[:-1], True] if len(low) else np.zeros(0, bool)
-                low, high, cs = low[last], high[last], cs[last]
-                better = (cs > best[low]) | ((cs == best[low]) & (c.p[high] < to[low]))
-                best[low[better]], to[low[better]] = cs[better], c.p[high[better]]
-                edges.append((i, j))
+                offer(low[last], cos[last], c.p[high[last]])
+                edges.append((a, b))
+            for lo, hi in crowded:
+                if (t := _crowded_tile(c, lo, hi, threshold)) is None:
+                    continue
+                left, right, cos, mask = t
+                same = left is right
+                rise = (c.rho[right][None, :] > c.rho[left][:, None]) | ((c.rho[right][None, :] == c.rho[left][:, None]) & (c.p[right][None, :] < c.p[left][:, None]))
+                for rows, others, ok, value in [(left, right, mask & rise, cos)] + ([] if same else [(right, left, (mask & ~rise).T, cos.T)]):
+                    v = np.where(ok, value, -2.0)
+                    k = v.argmax(1)
+                    got = np.flatnonzero(v[np.arange(len(rows)), k] > -2)
+                    offer(rows[got], v[got, k[got]], c.p[others[k[got]]])
+                own = left if same else np.r_[left, right]
+                edges.append((own, own[_tile_labels(mask, same)]))
+            label = np.arange(c.n)
             i, j = (np.concatenate(x) for x in zip(*edges)) if edges else (label[:0], label[:0])
             while len(i):
                 m = np.minimum(label[i], label[j])
