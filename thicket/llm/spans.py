@@ -23,7 +23,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.stages import delete_path, stage_path, write_stage
@@ -40,7 +40,7 @@ def _window_hashes(cp, width):
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     have, base, power = 1, 0xD1342543DE82EF95, x
-    out, done, mul = None, 0, 1
+    out, done = None, 0
     n = len(cp) - width + 1
     rest = width
     while rest:
@@ -53,7 +53,6 @@ def _window_hashes(cp, width):
             power = power[:-have] * np.uint64(base) + power[have:]
             base = base * base % (1 << 64)
             have *= 2
-    del mul
     out ^= out >> np.uint64(31)
     out *= np.uint64(0x94D049BB133111EB)
     return out ^ (out >> np.uint64(29))
@@ -171,10 +170,8 @@ def _cut_outs(hits: DataFrame, documents: DataFrame, length: int, gram: int) ->
     side = length - gram
     by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h", "pos")).alias("at"))
     docs = documents.select(F.col("doc_id").cast("long"), "text").filter((F.length("text") >= length) & F.col("doc_id").isNotNull())
-    hit = F.explode("at").alias("e")
-    # SQL's substring would scan from the start for each hit; one pass per document does not
+    # SQL's substring would scan a text from its start for each hit; one pass over it does not
     cut = docs.join(by_doc, "doc_id")
-    del hit
 
     def cutting(batches):
         import numpy as np
@@ -293,8 +290,6 @@ def span_coverage(documents: DataFrame, members: DataFrame, links: DataFrame, wi
     good = many.groupBy("win").agg(F.min("lo").alias("l0"), F.max("hi").alias("h0")).filter("l0 < h0").select("win")
     crowded = wide.join(good, "win", "left_semi").select("cls", F.col("off").alias("a"), (F.lit(length) - F.col("off")).alias("z"))
     spans = own.unionByName(far).unionByName(crowded).distinct()
-    from pyspark.sql import Window
-
     at = members.select("cls", "doc_id", "pos").join(spans, "cls").select("doc_id", (F.col("pos") - F.col("a")).alias("s"), (F.col("pos") + F.col("z")).alias("e")).distinct()
     w = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     fresh = at.withColumn("before", F.coalesce(F.max("e").over(w), F.lit(0)))
