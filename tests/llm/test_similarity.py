@@ -102,6 +102,13 @@ def test_clusters_against_brute_force(spark, monkeypatch, tile, small):
         assert r["typical"] == [x["point_idx"] for x in own[:2]]
 
 
+def test_clusters_of_copies(spark):
+    pts = [(i, [(1, 1.0 + i % 3), (2, 2.0 * (1 + i % 3))]) for i in range(900)] + [(1000, [(1, 1.0), (2, 2.1)]), (1001, [(7, 1.0)]), (1002, [(7, 1.0)])]
+    got = density_clusters(spark.createDataFrame(pts, "point_idx long, sim_values array<struct<idx:int,val:double>>")).collect()
+    assert {r["point_idx"]: (r["cluster_idx"], r["density"]) for r in got} == {**{i: (0, 900) for i in [*range(900), 1000]}, 1001: (1001, 1), 1002: (1001, 1)}
+    assert sum(r["uphill"] is None for r in got) == 2 and all(r["peak"] in (0, 1001) for r in got)
+
+
 def test_clusters_empty(spark):
     df = spark.createDataFrame([], "point_idx long, sim_values array<struct<idx:int,val:double>>")
     assert density_clusters(df).count() == 0

@@ -107,6 +107,7 @@ class _Chunk:
         self.tile = np.stack([col[k].to_numpy(zero_copy_only=False) for k in ("ta", "tb", "ti", "tj")], 1)
         self.sub = col["sub"].to_numpy(zero_copy_only=False)
         self.plen, self.dom = col["plen"].to_numpy(zero_copy_only=False), col["dom"].to_numpy(zero_copy_only=False)
+        self.weight = col["n"].to_numpy(zero_copy_only=False)
         self.rho = col["rho"].to_numpy(zero_copy_only=False) if rho else None
         width = col["tok"].value_lengths().to_numpy(zero_copy_only=False)
         self.start = np.r_[0, np.cumsum(width)].astype(np.int64)
@@ -290,7 +291,11 @@ def density_clusters(points: DataFrame, threshold: float = 0.9) -> DataFrame:
     greatest array.  Null ids are no points.
     """
     one = points.select(F.col("point_idx").cast("long").alias("p"), F.col("sim_values").cast("array<struct<idx:int,val:double>>").alias("v")).filter("p is not null")
-    vectors = write_stage(_vectors(one.groupBy("p").agg(F.max("v").alias("v")), threshold), "vectors")
+    every = write_stage(_vectors(one.groupBy("p").agg(F.max("v").alias("v")), threshold), "points")
+    # points of one direction are a class: its smallest id takes part, with the weight of all
+    rest = [F.first(c).alias(c) for c in ("plen", "solo", "dom")]
+    vectors = write_stage(every.groupBy("tok", "val").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"), *rest), "vectors")
+    copies = every.join(vectors.filter("n > 1").select("tok", "val", F.col("p").alias("rep")), ["tok", "val"]).filter("p <> rep").select("p", "rep")
     blocks = write_stage(_blocks(vectors), "blocks")
 
     def count(batches):
@@ -298,17 +303,19 @@ def density_clusters(points: DataFrame, threshold: float = 0.9) -> DataFrame:
             n = np.zeros(c.n, np.int64)
             i, j, crowded = _blocks_of(c)
             for a, b, _ in _small_tiles(c, i, j, threshold):
-                n += np.bincount(a, minlength=c.n) + np.bincount(b, minlength=c.n)
+                n += np.bincount(a, c.weight[b], c.n).astype(np.int64) + np.bincount(b, c.weight[a], c.n).astype(np.int64)
             for lo, hi in crowded:
                 if (t := _crowded_tile(c, lo, hi, threshold)) is not None:
                     left, right, _, mask = t
-                    n[left] += mask.sum(1)
+                    n[left] += mask @ c.weight[right]
                     if left is not right:
-                        n[right] += mask.sum(0)
+                        n[right] += mask.T @ c.weight[left]
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(c.p[at]), pa.array(n[at])], names=["p", "rho"])
 
-    rho = write_stage(_tiles(blocks, vectors).mapInArrow(count, "p bigint, rho bigint").groupBy("p").agg(F.sum("rho").alias("rho")), "density")
+    near = _tiles(blocks, vectors).mapInArrow(count, "p bigint, rho bigint").groupBy("p").agg(F.sum("rho").alias("near"))
+    own = vectors.select("p", (F.col("n") - 1).alias("own")).join(near, "p", "left")
+    rho = write_stage(own.select("p", (F.col("own") + F.coalesce("near", F.lit(0))).alias("rho")).filter("rho > 0"), "density")
 
     def climb(batches):
         for c in _whole_tiles(batches, True):
@@ -366,7 +373,10 @@ def density_clusters(points: DataFrame, threshold: float = 0.9) -> DataFrame:
     labelled = hill.join(ends.withColumnRenamed("node", "p"), "p").join(merged.withColumnRenamed("node", "end"), "end", "left")
     labelled = write_stage(labelled.select("p", "rho", "uphill", "cosine", "end", F.coalesce("component", "end").alias("c")), "labels")
     least = labelled.groupBy("c").agg(F.min("p").alias("cluster_idx"))
-    return labelled.join(least, "c").select(F.col("p").alias("point_idx"), "cluster_idx", F.col("rho").alias("density"), "uphill", "cosine", F.col("end").alias("peak"))
+    reps = labelled.join(least, "c").select(F.col("p").alias("point_idx"), "cluster_idx", F.col("rho").alias("density"), "uphill", "cosine", F.col("end").alias("peak"))
+    same = copies.join(reps.withColumnRenamed("point_idx", "rep"), "rep").select(
+        F.col("p").alias("point_idx"), "cluster_idx", "density", F.col("rep").alias("uphill"), F.lit(1.0).alias("cosine"), "peak")
+    return reps.unionByName(same)
 
 
 def describe_clusters(clusters: DataFrame, typical: int = 3) -> DataFrame:
