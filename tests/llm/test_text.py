@@ -104,7 +104,7 @@ def _docs(seed):
     docs = [(i, word(rng.randrange(40)) + "".join(rng.choice(shared) + word(rng.randrange(6)) for _ in range(rng.randrange(4)))) for i in range(60)]
     hot = word(17)  # shorter than the stretch, in front of many documents
     docs += [(100 + i, hot + word(30)) for i in range(40)] + [(200 + i, hot + shared[4]) for i in range(12)]
-    return docs + [(300, None), (301, ""), (302, "a" * 90), (303, "b" + "a" * 70), (304, "x"), (305, docs[0][1]), (306, docs[0][1])]
+    return docs + [(300, None), (301, ""), (302, "a" * 90), (303, "b" + "a" * 70), (304, "x"), (305, docs[0][1]), (306, docs[0][1])] + [(i, "copied " * 6 + shared[4]) for i in range(400, 430)]
 
 
 @pytest.mark.parametrize("few", [32, 1])

@@ -244,8 +244,19 @@ def verify_spans(hits: DataFrame, documents: DataFrame, length: int = 200, gram:
     return members, links, wide
 
 
+def exact_copies(documents: DataFrame, length: int = 200) -> DataFrame:
+    """``doc_id, rep``: documents whose text a smaller id has too (equal SHA-256), from ``length`` characters on."""
+    keyed = documents.select(F.col("doc_id").cast("long"), "text").filter((F.length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("text", 256).alias("k"))
+    groups = keyed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keyed.join(groups.select("k", "rep"), "k").filter("doc_id <> rep").select("doc_id", "rep")
+
+
 def shared_spans(documents: DataFrame, length: int = 200, gram: int = GRAM, batches: int = 2):
-    """Index ``documents`` in ``batches`` parts (by a hash of their id) and verify all hits."""
+    """Index ``documents`` in ``batches`` parts (by a hash of their id) and verify all hits.
+
+    Returns the three relations of ``verify_spans`` over one document of each group of
+    exact copies, and ``copies(doc_id, rep)``: a group of any size is verified once.
+    """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
     index = FingerprintIndex(spark, length, gram)
@@ -254,15 +265,22 @@ def shared_spans(documents: DataFrame, length: int = 200, gram: int = GRAM, batc
         got = index.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
         hits = got if hits is None else hits.unionByName(got)
     index.close()
-    return verify_spans(hits, docs, length, gram)
+    copies = write_stage(exact_copies(docs, length), "copies")
+    single = hits.join(copies.select("doc_id"), "doc_id", "left_anti")
+    still = single.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    return *verify_spans(single.join(still.select("h"), "h", "left_semi"), docs, length, gram), copies
+
+
+def _copy_groups(copies: DataFrame) -> DataFrame:
+    """``rep, doc_id`` with each representative among its own members."""
+    return copies.select("rep", "doc_id").unionByName(copies.select("rep", F.col("rep").alias("doc_id")).distinct())
 
 
-def span_pairs(members: DataFrame, links: DataFrame, wide: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
+def span_pairs(members: DataFrame, links: DataFrame, wide: DataFrame, copies: DataFrame | None = None, length: int = 200, gram: int = GRAM) -> DataFrame:
     """All pairs ``doc_id_a < doc_id_b`` of documents with a shared stretch."""
     one = members.select("cls", "doc_id").distinct()
     whole = members.filter(F.col("left") + F.col("right") >= length - gram).select("cls", "doc_id").distinct()
-    a = lambda t, k: t.select(F.col(k).alias(k), F.col("doc_id").alias("x"))
-    inside = a(whole, "cls").join(whole, "cls").select("x", F.col("doc_id").alias("y")).filter("x < y")
+    inside = whole.select("cls", F.col("doc_id").alias("x")).join(whole, "cls").select("x", F.col("doc_id").alias("y")).filter("x < y")
     across = (
         links.select("cls_a", "cls_b").distinct()
         .join(one.select(F.col("cls").alias("cls_a"), F.col("doc_id").alias("x")), "cls_a")
@@ -271,10 +289,17 @@ def span_pairs(members: DataFrame, links: DataFrame, wide: DataFrame, length: in
     )
     held = wide.select("win", "cls").join(one, "cls").select("win", "doc_id").distinct()
     grouped = held.select("win", F.col("doc_id").alias("x")).join(held, "win").select("x", F.col("doc_id").alias("y")).filter("x < y")
-    return inside.unionByName(across).unionByName(grouped).distinct().select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
+    pairs = inside.unionByName(across).unionByName(grouped).distinct()
+    if copies is not None:
+        group = _copy_groups(copies)
+        a, b = group.select(F.col("rep").alias("x"), F.col("doc_id").alias("_x")), group.select(F.col("rep").alias("y"), F.col("doc_id").alias("_y"))
+        spread = pairs.join(a, "x", "left").join(b, "y", "left").select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
+        own = a.join(group, F.col("x") == F.col("rep")).filter(F.col("_x") < F.col("doc_id")).select(F.col("_x").alias("x"), F.col("doc_id").alias("y"))
+        pairs = spread.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(own)
+    return pairs.select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
 
 
-def span_coverage(documents: DataFrame, members: DataFrame, links: DataFrame, wide: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
+def span_coverage(documents: DataFrame, members: DataFrame, links: DataFrame, wide: DataFrame, copies: DataFrame | None = None, length: int = 200, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_chars, shared_chars`` of every document; null and short texts share nothing.
 
     Works on classes: each gets the widest stretch verified for it, every member
@@ -295,4 +320,10 @@ def span_coverage(documents: DataFrame, members: DataFrame, links: DataFrame, wi
     fresh = at.withColumn("before", F.coalesce(F.max("e").over(w), F.lit(0)))
     shared = fresh.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "before"))).alias("shared_chars"))
     every = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
-    return every.join(shared, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
+    if copies is not None:  # a copy is shared as a whole
+        whole = _copy_groups(copies).select("doc_id", F.lit(True).alias("_copy"))
+        every = every.join(whole, "doc_id", "left")
+    else:
+        every = every.withColumn("_copy", F.lit(None).cast("boolean"))
+    chars = F.when(F.col("_copy"), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)))
+    return every.join(shared, "doc_id", "left").select("doc_id", "n_chars", chars.alias("shared_chars"))
