@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import descendants, hierarchy
+from ..operators.hierarchy import descendants, hierarchy, tree_roots
 from ..plans.stages import write_stage
 from ..sources.validated import split_valid, validate_lines
 
@@ -30,7 +30,7 @@ def _tree(spark, d):
 
 
 def p4_found(spark, d):
-    return _tree(spark, d).select("tree_id", "node_id", "root_id")
+    return tree_roots(spark.read.parquet(f"{d}/tree_nodes.parquet"))
 
 
 def p4_paths(spark, d):

@@ -67,39 +67,70 @@ def _double(cur: DataFrame, name: str) -> DataFrame:
     return cur
 
 
-def hierarchy(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
-    """One row per node: ``tree_id, node_id, root_id, depth, path, status``.
+def _walk_to_splitters(nodes: DataFrame, split_every: int):
+    """``(roots, walks, splitters)``: every node's walk to the next splitter above it.
 
-    ``path`` runs from the root to the node itself; ``depth`` of a root is 0.  Nodes
-    that never reach a root have root_id -1, null depth and path, and status
-    'cycle' if they lie on the circle or 'below_cycle' if they only lead into it.
-    An empty table gives an empty result.
+    ``walks(t, n, to, seg, live, loop)`` has all nodes but the roots; ``loop`` marks the
+    ones that run into a splitterless cycle.  ``splitters`` are keys only.
     """
     par = counting_parents(nodes)
     split = (F.pmod(F.xxhash64("t", "n"), F.lit(split_every)) == 0) | F.col("par").isNull()
     p = write_stage(par.select("t", "n", "par", split.alias("split")), "parents")
     up = p.select("t", F.col("n").alias("par"), F.col("split").alias("_psplit"))
     step = p.filter("par is not null").join(up, ["t", "par"])
-    first = step.select(
-        "t", "n", F.col("par").alias("to"), F.array("par").alias("seg"),
-        (F.col("n") == F.col("par")).alias("loop"), (~F.col("_psplit") & (F.col("n") != F.col("par"))).alias("live"),
-    )
-    roots = p.filter("par is null").select("t", "n")
-    walks = _double(write_stage(first, "walks"), "walks")
-    # the reduced graph: splitters and the next splitter above each; roots stop
-    mark = p.filter("split").select("t", "n")
-    reduced = walks.join(mark, ["t", "n"], "left_semi").filter("not loop")
+    own = F.col("n") == F.col("par")
+    first = step.select("t", "n", F.col("par").alias("to"), F.array("par").alias("seg"), own.alias("loop"), (~F.col("_psplit") & ~own).alias("live"))
+    return p.filter("par is null").select("t", "n"), _double(write_stage(first, "walks"), "walks"), p.filter("split").select("t", "n")
+
+
+def _reduced(roots: DataFrame, walks: DataFrame, splitters: DataFrame) -> DataFrame:
+    """The pointer graph of the splitters: live until they point to a root; looping walks are ends."""
     rootmark = roots.select("t", F.col("n").alias("to"), F.lit(True).alias("_root"))
-    reduced = reduced.join(rootmark, ["t", "to"], "left").select(
-        "t", "n", "to", "seg", (F.col("n") == F.col("to")).alias("loop"),
-        (F.col("_root").isNull() & (F.col("n") != F.col("to"))).alias("live"),
-    )
-    # a splitter whose walk fell into a splitterless cycle can't be a live end
-    dead = walks.join(mark, ["t", "n"], "left_semi").filter("loop").select("t", "n", "to", "seg", "loop", "live")
-    solved = _double(write_stage(reduced.unionByName(dead), "splitters"), "splitters")
+    own = F.col("n") == F.col("to")
+    live = F.col("_root").isNull() & ~F.col("loop") & ~own
+    return walks.join(splitters, ["t", "n"], "left_semi").join(rootmark, ["t", "to"], "left").select("t", "n", "to", "seg", (F.col("loop") | own).alias("loop"), live.alias("live"))
+
+
+def tree_roots(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
+    """``tree_id, node_id, root_id`` alone: as ``hierarchy``, but no path is ever built above a splitter.
+
+    Memory therefore doesn't depend on the depth.  The splitters' pointers double each
+    round; a round in which none arrives leaves only those that run in a circle.
+    """
+    roots, walks, splitters = _walk_to_splitters(nodes, split_every)
+    cur = write_stage(_reduced(roots, walks, splitters).drop("seg"), "splitters")
+    left, before = cur.filter("live").count(), None
+    while left and left != before:
+        far = cur.select("t", F.col("n").alias("to"), F.col("to").alias("_to"), F.col("loop").alias("_loop"), F.col("live").alias("_live"))
+        moved = cur.filter("live").join(far, ["t", "to"]).select("t", "n", F.col("_to").alias("to"), F.col("_loop").alias("loop"), F.col("_live").alias("live"))
+        new = write_stage(cur.filter("not live").unionByName(moved.select(*cur.columns)), "splitters")
+        drop_stage(cur)
+        cur, before, left = new, left, new.filter("live").count()
+    none = F.lit(-1)
+    top = cur.select("t", F.col("n").alias("to"), F.when(F.col("loop") | F.col("live"), none).otherwise(F.col("to")).alias("_root"))
+    atroot = roots.select("t", F.col("n").alias("to"), F.col("n").alias("_end"))
+    ended = walks.filter("not loop").select("t", "n", "to").join(atroot, ["t", "to"], "left")
+    out = roots.select("t", "n", F.col("n").alias("root"))
+    out = out.unionByName(walks.filter("loop").select("t", "n", none.alias("root")))
+    out = out.unionByName(ended.filter("_end is not null").select("t", "n", F.col("_end").alias("root")))
+    out = out.unionByName(ended.filter("_end is null").join(top, ["t", "to"]).select("t", "n", F.col("_root").alias("root")))
+    return out.select(F.col("t").alias("tree_id"), F.col("n").alias("node_id"), F.col("root").alias("root_id"))
+
+
+def hierarchy(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
+    """One row per node: ``tree_id, node_id, root_id, depth, path, status``.
+
+    ``path`` runs from the root to the node itself; ``depth`` of a root is 0.  Nodes
+    that never reach a root have root_id -1, null depth and path, and status
+    'cycle' if they lie on the circle or 'below_cycle' if they only lead into it.
+    An empty table gives an empty result.
+    """
+    roots, walks, splitters = _walk_to_splitters(nodes, split_every)
+    solved = _double(write_stage(_reduced(roots, walks, splitters), "splitters"), "splitters")
     top = solved.select("t", F.col("n").alias("to"), F.col("to").alias("_root"), F.col("seg").alias("_up"), F.col("loop").alias("_loop"))
     # walks that end in a root need no join; the others take their splitter's path
-    ended = walks.filter("not loop").join(rootmark, ["t", "to"], "left").withColumnRenamed("_root", "_at_root")
+    rootmark = roots.select("t", F.col("n").alias("to"), F.lit(True).alias("_at_root"))
+    ended = walks.filter("not loop").join(rootmark, ["t", "to"], "left")
     direct = ended.filter("_at_root").select("t", "n", F.col("to").alias("root"), "seg", F.lit(False).alias("loop"))
     via = ended.filter("_at_root is null").join(top, ["t", "to"]).select(
         "t", "n", F.col("_root").alias("root"), F.concat("seg", "_up").alias("seg"), F.col("_loop").alias("loop")
