@@ -110,7 +110,7 @@ def p10_found(spark, d):
 
 def p10_coverage(spark, d):
     docs = _t(spark, d, "documents")
-    return span_coverage(docs, *shared_spans(docs))
+    return span_coverage(docs, *shared_spans(docs)).withColumn("shared_chars", F.col("shared_chars").cast("int"))
 
 
 def queries():
@@ -139,6 +139,10 @@ m as (select item, count(*) n from i group by 1 having count(*) >= 5), k as (sel
 p as (select a.item label_a, b.item label_b, count(*) n_ab from i a join i b on a.row_id = b.row_id and a.item < b.item group by 1, 2)
 select label_a, label_b, n_ab, a.n n_a, b.n n_b, k.n n, n_ab * k.n / (a.n::double * b.n) lift, log2(n_ab * k.n / (a.n::double * b.n)) pmi
 from p join m a on a.item = label_a join m b on b.item = label_b, k"""
+_COVER = """with w as (select doc_id, i, substr(text, i, 200) s from (select doc_id, text, unnest(range(1, length(text) - 198)) i from documents where length(text) >= 200)),
+m as (select s from w group by 1 having count(distinct doc_id) > 1),
+g as (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) n from w join m using (s)), c as (select doc_id, sum(n) n from g group by 1)
+select doc_id, coalesce(length(text), 0)::int n_chars, coalesce(n, 0)::int shared_chars from documents left join c using (doc_id)"""
 _SPANS = """with w as (select distinct doc_id, substr(text, i, 200) s from (select doc_id, text, unnest(range(1, length(text) - 198)) i from documents where length(text) >= 200)),
 m as (select s from w group by 1 having count(*) > 1), h as (select w.* from w join m using (s))"""
 
@@ -156,5 +160,6 @@ def oracle_sql():
         "p6_found": f"{_SIM} select point_idx, cluster_idx from g",
         "p7_pairs": _COOC,
         "p7_found": f"select label_a, label_b from ({_COOC}) where n_ab * n >= 5 * n_a * n_b",
+        "p10_coverage": _COVER,
         "p10_found": f"{_SPANS} select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from h a join h b using (s) where a.doc_id < b.doc_id",
     }
