@@ -147,6 +147,33 @@ def test_big_problems_are_trained_by_the_distributed_solver(spark):
     assert train_loss(small[0]).first()["mean_loss"] >= 0
 
 
+def test_one_vs_rest_blocks_and_distributed_agree(spark):
+    from thicket.operators.train import train_one_vs_rest
+
+    x, y = blobs(spark, 120, 3)
+    y[0], y[1] = [], [0, 2]
+    d = spark.createDataFrame([(i, y[i] + [7], [(-1, 1.0)] + [(j, float(v)) for j, v in enumerate(r)]) for i, r in enumerate(x)], "row_id long, labels array<int>, features array<struct<idx:int,val:double>>")
+    o = TrainOptions(solver="L2R_LR", cost=1.0, eps=1e-6, max_iter=500, weights_threshold=0.0)
+    got = []
+    for kw in ({"block": 64}, {"block": 1}, {"big_rows": 10}):
+        m, w = train_one_vs_rest(d, o, **kw)
+        assert {r["node_id"]: r["class_count"] for r in m.collect()} == {0: 2, 1: 2, 2: 2, 7: 1}
+        got.append({(r["node_id"], r["idx"]): r["w"] for r in w.collect()})
+    assert got[0] == got[1] and got[0].keys() == got[2].keys() and all(abs(got[0][k] - got[2][k]) < 0.02 for k in got[0])
+
+
+def test_block_scores_equal_the_join(spark, monkeypatch):
+    x, y = blobs(spark, 60, 4)
+    rows = spark.createDataFrame([(i, [(j, float(v)) for j, v in enumerate(r) if j % 2 == i % 2]) for i, r in enumerate(x)] + [(99, []), (100, [(500, 1.0)])], "row_id long, features array<struct<idx:int,val:double>>")
+    w = spark.createDataFrame([(n, j, float((n * 7 + j) % 5 - 2)) for n in range(5) for j in range(9) if (n + j) % 3], "node_id int, idx int, w double")
+    m = spark.createDataFrame([(0, 2, 1), (1, 2, 0), (2, 1, 1), (3, 1, 0), (4, 0, 0)], "node_id int, class_count int, first_class int")
+    norm = lambda df, c: {(r["row_id"], r[c]): round(r[-1], 9) for r in df.collect()}
+    fast = norm(predict.all_values(rows, m, w), "node_id"), norm(predict.br_predict(rows, m, w, 2, loss="squaredHinge"), "label"), norm(predict.ovr_predict(rows, m, w, 3), "label")
+    monkeypatch.setattr(predict, "SMALL_MODEL", -1)
+    slow = norm(predict.all_values(rows, m, w), "node_id"), norm(predict.br_predict(rows, m, w, 2, loss="squaredHinge"), "label"), norm(predict.ovr_predict(rows, m, w, 3), "label")
+    assert fast == slow and len(fast[0]) == 62 * 5
+
+
 def test_ofo(spark):
     rows = spark.createDataFrame([(0, [1], [(1, 0.9), (2, 0.6)]), (1, [2], [(1, 0.2), (2, 0.4)]), (2, None, None)], "row_id long, labels array<int>, probs array<struct<label:int,score:double>>")
     # thresholds by hand: 10/20 -> both of row 0 predicted: 11/23; row 1: none, 11/24

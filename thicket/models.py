@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import features as fx
 from .operators import assign, predict
 from .operators import trees as tr
-from .operators.train import TrainOptions, train_problems
+from .operators.train import TrainOptions, train_one_vs_rest, train_problems
 from .plans.stages import write_stage
 from .sources.adapters import features_frame, labels_frame
 from .sources.files import read_libsvm
@@ -206,14 +206,8 @@ class HSM(_TreeModel):
 class BR(Model):
     kind = "br"
 
-    def _assignment(self, data):
-        # one problem a label over all rows: each row is repeated for the labels, the size of the task itself
-        labels = data.select(F.explode("labels").alias("label")).distinct()
-        grid = data.select("row_id", "labels").join(labels, how="cross")
-        return grid.select(F.col("label").cast("int").alias("node_id"), "row_id", F.array_contains("labels", F.col("label")).cast("int").alias("y"))
-
     def _fit_member(self, data, options):
-        return (None, *train_problems(self._assignment(data), data.select("row_id", "features"), options))
+        return (None, *train_one_vs_rest(data, options))
 
     def _predict_member(self, rows, member, k, threshold, label_weights):
         number = isinstance(threshold, (int, float))
@@ -227,10 +221,11 @@ class OVR(BR):
         if set(self.extra) - {"pick_one_label_weighting"}:
             raise TypeError(f"unknown parameters: {sorted(self.extra)}")
 
-    def _assignment(self, data):
-        one = assign.ovr_assignment(data, self.extra.get("pick_one_label_weighting", True))
-        labels = one.select(F.col("label").alias("node_id")).distinct()
-        return one.join(labels, how="cross").select(F.col("node_id").cast("int"), "row_id", (F.col("label") == F.col("node_id")).cast("int").alias("y"), "weight")
+    def _fit_member(self, data, options):
+        pick = self.extra.get("pick_one_label_weighting", True)
+        if not pick and data.filter(F.size(F.array_distinct("labels")) > 1).take(1):
+            raise ValueError("rows with several labels need pick-one weighting")
+        return (None, *train_one_vs_rest(data, options, pick_one=True))
 
     def _predict_member(self, rows, member, k, threshold, label_weights):
         s = predict.ovr_predict(rows, member[1], member[2], 0, label_weights)

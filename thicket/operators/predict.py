@@ -48,15 +48,71 @@ def candidate_values(cand: DataFrame, rows: DataFrame, models: DataFrame, weight
 
 
 def all_values(rows: DataFrame, models: DataFrame, weights: DataFrame) -> DataFrame:
-    """``row_id, node_id, value`` of every row at every node."""
+    """``row_id, node_id, value`` of every row at every node (rows x nodes lines by definition)."""
+    if weights.count() <= SMALL_MODEL:
+        return block_scores(rows, models, weights, 0, "none").select("row_id", F.col("label").alias("node_id"), F.col("score").alias("value"))
     f = rows.select("row_id", F.explode("features").alias("f")).select("row_id", F.col("f.idx").alias("idx"), F.col("f.val").alias("val"))
     dot = f.join(weights, "idx").groupBy("row_id", "node_id").agg(F.sum(F.col("val") * F.col("w")).alias("raw"))
-    # the result has rows x nodes lines by definition; the node list is repeated per row without a join
     nodes = models.select("node_id", "class_count", "first_class")
     grid = rows.select("row_id").join(nodes, how="cross")
     return grid.join(dot, ["row_id", "node_id"], "left").select("row_id", "node_id", signed_value(F.coalesce("raw", F.lit(0.0))).alias("value"))
 
 
+def block_scores(rows: DataFrame, models: DataFrame, weights: DataFrame, k: int, link: str) -> DataFrame:
+    """``row_id, label (= node), score``: batches of rows against a broadcast model, without a join or shuffle.
+
+    The model is stored by feature; a batch's entries expand to its slices and are
+    summed into a rows x nodes block of bounded size.  ``link``: 'none', 'logistic',
+    'squaredHinge' or 'softmax'; only the ``k`` best of a row leave the worker (0: all).
+    Callers check the model's size (``SMALL_MODEL``) first.
+    """
+    import numpy as np
+
+    nodes = models.select("node_id", "class_count", "first_class").toPandas().sort_values("node_id")
+    w = weights.select("node_id", "idx", "w").toPandas()
+    ids = nodes["node_id"].to_numpy(np.int64)
+    w = w[w["node_id"].isin(ids)].sort_values(["idx", "node_id"])
+    const = np.where(nodes["class_count"] >= 2, np.nan, np.where((nodes["class_count"] == 1) & (nodes["first_class"] == 1), CONSTANT_LOGIT, -CONSTANT_LOGIT))
+    feats, start = np.unique(w["idx"].to_numpy(np.int64), return_index=True)
+    pack = (ids, const, np.where(nodes["first_class"] == 0, -1.0, 1.0), feats, np.r_[start, len(w)], np.searchsorted(ids, w["node_id"].to_numpy(np.int64)), w["w"].to_numpy(float))
+    shared = rows.sparkSession.sparkContext.broadcast(pack)
+
+    def score(batches):
+        ids, const, sign, feats, start, col, val = shared.value
+        m = len(ids)
+        step = max(1, 2_000_000 // max(m, 1))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                width = part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                n = len(width)
+                i, x = part.column(1).flatten().to_numpy(zero_copy_only=False), part.column(2).flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(n), width)
+                v = np.zeros((n, m))
+                if len(feats) and len(i):
+                    at = np.minimum(np.searchsorted(feats, i), len(feats) - 1)
+                    ok = feats[at] == i
+                    at, row, x = at[ok], row[ok], x[ok]
+                    size = start[at + 1] - start[at]
+                    pos = np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    v = np.bincount(np.repeat(row, size) * m + col[pos], np.repeat(x, size) * val[pos], n * m).reshape(n, m)
+                v = np.where(np.isnan(const), v * sign, const)
+                if link == "softmax":
+                    v = np.exp(v - v.max(1, keepdims=True)) if m else v
+                    v = v / v.sum(1, keepdims=True)
+                elif link == "logistic":
+                    v = 1 / (1 + np.exp(-np.clip(v, -700, 700)))
+                elif link == "squaredHinge":
+                    v = np.exp(-np.maximum(0, 1 - v) ** 2)
+                keep = np.argsort(-v, axis=1, kind="stable")[:, :k] if k else np.broadcast_to(np.arange(m), (n, m))
+                rid = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(rid, keep.shape[1])), pa.array(ids[keep.ravel()].astype(np.int32)), pa.array(np.take_along_axis(v, keep, 1).ravel())], names=["row_id", "label", "score"])
+
+    data = rows.select(F.col("row_id").cast("long"), F.col("features.idx").alias("i"), F.col("features.val").alias("v"))
+    return data.mapInArrow(score, "row_id bigint, label int, score double")
+
+
 def top_k(scores: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The k best ``label`` by ``score`` of each row, ties by label; 0 keeps all."""
     if not k:
@@ -91,6 +147,8 @@ def apply_thresholds(scores: DataFrame, threshold: float = 0.0, label_thresholds
 
 def br_predict(rows, models, weights, k: int = 5, threshold: float = 0.0, label_thresholds=None, label_weights=None, loss: str = "logistic") -> DataFrame:
     """One-vs-rest probabilities of every label: weights, thresholds (strict), top k."""
+    if label_weights is None and label_thresholds is None and weights.count() <= SMALL_MODEL:
+        return apply_thresholds(block_scores(rows, models, weights, k, loss), threshold, strict=True)
     s = all_values(rows, models, weights).select("row_id", F.col("node_id").alias("label"), probability(F.col("value"), loss).alias("score"))
     s = apply_label_terms(s, label_weights)
     return top_k(apply_thresholds(s, threshold, label_thresholds, strict=True), k)
@@ -98,6 +156,8 @@ def br_predict(rows, models, weights, k: int = 5, threshold: float = 0.0, label_
 
 def ovr_predict(rows, models, weights, k: int = 5, label_weights=None) -> DataFrame:
     """Softmax over the scores of all labels."""
+    if label_weights is None and weights.count() <= SMALL_MODEL:
+        return block_scores(rows, models, weights, k, "softmax")
     v = all_values(rows, models, weights)
     from pyspark.sql import Window
 
