@@ -6,7 +6,7 @@ the number of labels; none is broadcast by hand, Spark decides by their size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import label_rows
@@ -58,8 +58,6 @@ def ovr_assignment(data: DataFrame, pick_one: bool = True) -> DataFrame:
 
 def child_positions(tree: DataFrame) -> DataFrame:
     """``node_id, parent_id, child_pos, n_children`` by node id, counted within each parent."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("parent_id").orderBy("node_id")
     n = Window.partitionBy("parent_id")
     return tree.filter("parent_id <> -1").select("node_id", "parent_id", (F.row_number().over(w) - 1).alias("child_pos"), F.count(F.lit(1)).over(n).alias("n_children"))
