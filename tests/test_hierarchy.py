@@ -86,3 +86,21 @@ def test_roots_of_a_deep_chain(spark):
     got = {(r["tree_id"], r["node_id"]): r["root_id"] for r in tree_roots(frame(spark, rows)).collect()}
     assert got == {**{(1, i): 0 for i in range(6000)}, **{(2, i): -1 for i in range(700)}}
     assert tree_roots(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("split", [1, 3, 1000])
+def test_descendants_of_circles_and_below(spark, split):
+    rng = random.Random(split)
+    rows = [(1, i, (i + 1) % 40, None, 0) for i in range(40)] + [(1, 40 + i, 39 + i if i else 7, None, 0) for i in range(30)]
+    rows += [(2, 5, 5, None, 0), (2, 6, 5, None, 0), (2, 7, 6, None, 0), (3, 0, -1, None, 0), (3, 1, 0, None, 0)]
+    rows += [(4, i, rng.randrange(60), None, 0) for i in range(60)]
+    par = {(t, n): p for t, n, p, _, _ in rows}
+    want = set()
+    for t, n in par:
+        x, far, met = par[t, n], 1, {n}
+        while x != -1 and x not in met:
+            want.add((t, x, n, far))
+            met.add(x)
+            x, far = par[t, x], far + 1
+    got = [tuple(r) for r in descendants(hierarchy(frame(spark, rows), split)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

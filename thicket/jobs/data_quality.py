@@ -36,7 +36,7 @@ def p4_found(spark, d):
 def p4_paths(spark, d):
     t = write_stage(_tree(spark, d), "tree")
     below = descendants(t).groupBy("tree_id", "node_id").agg(F.count(F.lit(1)).alias("n_descendants"))
-    return t.join(below, ["tree_id", "node_id"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
+    return t.drop("walk").join(below, ["tree_id", "node_id"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
 
 
 def p4_descendants(spark, d):

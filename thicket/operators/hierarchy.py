@@ -118,11 +118,13 @@ def tree_roots(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
 
 
 def hierarchy(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
-    """One row per node: ``tree_id, node_id, root_id, depth, path, status``.
+    """One row per node: ``tree_id, node_id, root_id, depth, path, status, walk``.
 
     ``path`` runs from the root to the node itself; ``depth`` of a root is 0.  Nodes
     that never reach a root have root_id -1, null depth and path, and status
     'cycle' if they lie on the circle or 'below_cycle' if they only lead into it.
+    ``walk`` is null but for these: the other nodes met going up from the node,
+    nearest first and each once, the whole circle included.
     An empty table gives an empty result.
     """
     roots, walks, splitters = _walk_to_splitters(nodes, split_every)
@@ -147,12 +149,18 @@ def hierarchy(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
         F.when(~F.col("loop"), F.size("seg")).alias("depth"),
         F.when(~F.col("loop"), path).alias("path"),
         F.when(~F.col("loop"), "tree").when(on, "cycle").otherwise("below_cycle").alias("status"),
+        F.when(F.col("loop"), F.array_remove(F.array_distinct("seg"), F.col("n"))).alias("walk"),
     )
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """Closure of ``hierarchy``: ``tree_id, node_id, descendant_id, distance`` for every proper descendant."""
-    h = tree.filter("path is not null").select("tree_id", F.col("node_id").alias("descendant_id"), "depth", "path")
-    return h.select("tree_id", F.posexplode("path").alias("_d", "node_id"), "descendant_id", "depth").filter("_d < depth").select(
-        "tree_id", "node_id", "descendant_id", (F.col("depth") - F.col("_d")).alias("distance")
-    )
+    """Closure of ``hierarchy``: ``tree_id, node_id, descendant_id, distance`` for every proper descendant.
+
+    A descendant of a node is any other node from which going up meets it; ``distance``
+    is the number of links until it is first met.  Nodes that never reach a root count
+    too: on a circle each node is below all the others, and what hangs below a circle
+    is below all its nodes.  No node is its own descendant.
+    """
+    above = F.coalesce(F.slice(F.reverse("path"), F.lit(2), F.size("path")), "walk")
+    h = tree.select("tree_id", F.col("node_id").alias("descendant_id"), F.posexplode(above).alias("_i", "node_id"))
+    return h.select("tree_id", "node_id", "descendant_id", (F.col("_i") + 1).alias("distance"))
