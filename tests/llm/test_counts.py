@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from thicket.llm.cooccurrence import associations
 from thicket.llm.ngrams import marked_terms, sequence_counts
+from thicket.llm.queries import p7_found, p7_pairs
 from thicket.llm.records import records
 from thicket.llm.topn import top_n_per_group
 
@@ -61,6 +62,14 @@ def test_associations_against_brute_force(spark):
     assert associations(spark.createDataFrame([], "items array<int>")).count() == 0
 
 
+def test_pairs_of_rare_labels_are_kept_but_no_case(spark, tmp_path):
+    rows = [(i, None, [1, 2] if i < 5 else [8, 9] if i == 5 else [], None, 1) for i in range(40)]
+    _points(spark, rows).write.parquet(f"{tmp_path}/data_points.parquet")
+    got = {(r["label_a"], r["label_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"], r["lift"]) for r in p7_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): (5, 5, 5, 40, 8.0), (8, 9): (1, 1, 1, 40, 40.0)}
+    assert [tuple(r) for r in p7_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 def test_top_n(spark):
     rows = [(1, 1, 7, 0.5, 1), (1, 1, 7, 0.9, 0), (1, 1, 8, 0.5, 1), (1, 1, 8, 0.5, 1), (1, 1, None, 9.0, 1), (1, 1, 9, None, 2), (1, 1, 9, 1.0, 1), (1, 1, 10, float("nan"), 1), (2, None, 1, 0.1, None)]
     rows += [(3, 5, i, (i % 11) / 10, 1) for i in range(500)]

@@ -69,12 +69,16 @@ def p6_clusters(spark, d):
     return describe_clusters(p6_members(spark, d))
 
 
+def _p7(spark, d, min_count):
+    return associations(records(_t(spark, d, "data_points"), "labels").select(F.col("labels").alias("items")), min_count)
+
+
 def p7_pairs(spark, d):
-    return associations(records(_t(spark, d, "data_points"), "labels").select(F.col("labels").alias("items")), 5)
+    return _p7(spark, d, 1)
 
 
 def p7_found(spark, d):
-    return p7_pairs(spark, d).filter(F.col("n_ab") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")).select("label_a", "label_b")
+    return _p7(spark, d, 5).filter(F.col("n_ab") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")).select("label_a", "label_b")
 
 
 def p8_ids(spark, d):
