@@ -1,4 +1,5 @@
 import math
+from datetime import datetime
 
 import pytest
 
@@ -83,3 +84,23 @@ def test_label_statistics(spark):
     assert {r["label"]: r["ps"] for r in lb.jain_propensity(d).collect()}[2] == pytest.approx(1 / q[2])
     assert lb.propensity_parameters("Amazon-670K") == (0.6, 2.6) and lb.propensity_parameters("yeast") == (0.55, 1.5)
     assert lb.count_labels(d.limit(0)).count() == 0
+
+
+def test_set_metrics_count_more_than_five_predictions(spark, tmp_path):
+    from thicket.jobs.reference import queries
+
+    true = {0: [0, 6, 8], 1: [7, 50], 2: [], 3: [1]}
+    said = {(1, 0): range(8), (1, 1): range(300), (1, 2): [3], (2, 0): [9]}
+    at = datetime(2024, 1, 1)
+    points = [(i, y, [], at) for i, y in true.items()]
+    spark.createDataFrame(points, "row_id long, labels array<int>, features array<struct<idx int, val double>>, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/data_points.parquet")
+    scores = [(g, i, y, 1 / (1 + y), at) for (g, i), p in said.items() for y in p] + [(1, 9, 1, 0.5, at), (1, 0, 8, None, at)]
+    spark.createDataFrame(scores, "run_id int, row_id long, label int, score double, scored_at timestamp_ntz").write.parquet(f"{tmp_path}/predictions.parquet")
+    q = {n: {r["run_id"]: r[n] for r in queries()[n](spark, str(tmp_path)).collect()} for n in ("hamming_loss", "micro_f1", "samples_f1", "macro_f1")}
+    assert q["hamming_loss"] == pytest.approx({1: (7 + 298 + 1) / 3, 2: 4.0}, abs=1e-6)
+    assert q["micro_f1"] == pytest.approx({1: 8 / (11 + 302 + 1), 2: 0.0}, abs=1e-6)
+    assert q["samples_f1"] == pytest.approx({1: (4 / 11 + 4 / 302) / 3, 2: 0.0}, abs=1e-6)
+    assert q["macro_f1"] == pytest.approx({1: (2 / 3 + 2 / 3 + 2 / 3 + 0 + 1) / 300, 2: 0.0}, abs=1e-6)  # labels 0, 6, 7, 8, 50
+    cli = {(r["run_id"], r["metric"]): r["value"] for r in queries()["cli_metrics"](spark, str(tmp_path)).collect()}
+    assert [cli[1, m] for m in ("tp", "fp", "fn", "s", "hl")] == pytest.approx([4 / 3, 305 / 3, 1 / 3, 103, 102], abs=1e-6)
+    assert cli[1, "p@3"] == pytest.approx(1 / 9, abs=1e-6)

@@ -35,10 +35,20 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("row_id"), F.array("label").alias("labels"), fx.dense_to_sparse(F.col("embedding")).alias("features"))
 
 
-def ranking(spark: SparkSession, d: str) -> DataFrame:
+def newest_scores(spark: SparkSession, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/predictions.parquet").filter("label is not null")
-    newest = p.groupBy("run_id", "row_id", "label").agg(F.max(F.struct("scored_at", "score")).alias("r")).select("run_id", "row_id", "label", "r.score")
-    return write_stage(mx.from_scores(newest, ["run_id"], 5), "ranking")
+    newest = p.groupBy("run_id", "row_id", "label").agg(F.max(F.struct("scored_at", "score")).alias("r"))
+    return newest.select("run_id", "row_id", "label", "r.score")
+
+
+def ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The first five of each row, for the metrics at k."""
+    return write_stage(mx.from_scores(newest_scores(spark, d), ["run_id"], 5), "ranking")
+
+
+def predicted(spark: SparkSession, d: str) -> DataFrame:
+    """All that was scored, for the metrics of whole sets."""
+    return write_stage(newest_scores(spark, d), "predicted")
 
 
 def _weights(spark, d) -> DataFrame:
@@ -145,9 +155,9 @@ def loss_values(spark, d):
 
 
 # metrics ------------------------------------------------------------------------------------
-def _metric(f, name, inv=False, **kw):
+def _metric(f, name, inv=False, source=ranking, **kw):
     def q(spark, d):
-        truth, pred = points(spark, d).select("row_id", "labels"), ranking(spark, d)
+        truth, pred = points(spark, d).select("row_id", "labels"), source(spark, d)
         args = (truth, pred, labels.jain_inverse_propensity(truth, dense=False)) if inv else (truth, pred)
         out = f(*args, by=["run_id"], **kw)
         return out.select(*[_r(F.col(c), c) if c not in ("run_id", "k") else F.col(c) for c in out.columns])
@@ -157,7 +167,7 @@ def _metric(f, name, inv=False, **kw):
 
 
 def cli_metrics(spark, d):
-    m = mx.cli_metrics(points(spark, d).select("row_id", "labels"), ranking(spark, d), 3, by=["run_id"])
+    m = mx.cli_metrics(points(spark, d).select("row_id", "labels"), predicted(spark, d), 3, by=["run_id"])
     return m.select("run_id", "metric", _r(F.col("value"), "value"))
 
 
@@ -324,8 +334,8 @@ def ensemble_filled(spark, d):
 _METRICS = [
     _metric(mx.precision_at_k, "precision_at_k"), _metric(mx.recall_at_k, "recall_at_k", zero_division=1), _metric(mx.dcg_at_k, "dcg_at_k"), _metric(mx.ndcg_at_k, "ndcg_at_k"),
     _metric(mx.psprecision_at_k, "psp_at_k", True), _metric(mx.psrecall_at_k, "psr_at_k", True), _metric(mx.psdcg_at_k, "psdcg_at_k", True), _metric(mx.psndcg_at_k, "psndcg_at_k", True),
-    _metric(mx.abandonment_at_k, "abandonment_at_k"), _metric(mx.coverage_at_k, "coverage_at_k"), _metric(mx.hamming_loss, "hamming_loss"), _metric(mx.micro_f1, "micro_f1"),
-    _metric(mx.macro_f1, "macro_f1"), _metric(mx.samples_f1, "samples_f1"), _metric(mx.macro_at_k, "macro_pr_at_k"),
+    _metric(mx.abandonment_at_k, "abandonment_at_k"), _metric(mx.coverage_at_k, "coverage_at_k"), _metric(mx.hamming_loss, "hamming_loss", source=predicted), _metric(mx.micro_f1, "micro_f1", source=predicted),
+    _metric(mx.macro_f1, "macro_f1", source=predicted), _metric(mx.samples_f1, "samples_f1", source=predicted), _metric(mx.macro_at_k, "macro_pr_at_k"),
 ]
 _ALL = [
     label_counts, label_priors, inv_label_priors, jain_inv_propensity, jain_propensity, label_feature_matrix, label_feature_mean, dataset_stats, remap_labels, split_train_valid,

@@ -6,6 +6,10 @@ row is computed on arrays in place, so each metric is one co-located join and on
 small aggregate; only label-wise metrics shuffle exploded labels.  Labels may be
 ints or strings.  Extra columns named in ``by`` give one result per group.
 
+The set metrics and ``cli_metrics`` count every predicted label.  They also take
+``pred`` long, as ``row_id, *by, label, score`` with each label once a row: it is
+counted by (row, label), so that a row may have any number of predictions.
+
 ``semantics``: 'python' averages over all rows and counts empty truths as
 ``zero_division``; 'cli' leaves rows with nothing to measure out.
 """
@@ -34,7 +38,7 @@ def from_scores(scores: DataFrame, by: list[str] | None = None, k: int | None =
     may have any number of scored labels; null and NaN scores are left out.
     """
     by = by or []
-    s = scores.select("row_id", *by, "label", "score").filter("label is not null and score is not null and not isnan(score)")
+    s = _scored(scores, by)
     if k:
         s = top_positions(s, ["row_id", *by], [F.col("score").desc(), F.col("label").asc()], k)
         ranks = s.groupBy("row_id", *by).agg(F.array_sort(F.collect_list(F.struct("position", "label"))).alias("r"))
@@ -43,6 +47,35 @@ def from_scores(scores: DataFrame, by: list[str] | None = None, k: int | None =
     return ranks.select("row_id", *by, F.col("r.label").alias("labels"))
 
 
+def _scored(scores: DataFrame, by: list[str]) -> DataFrame:
+    return scores.select("row_id", *by, "label", "score").filter("label is not null and score is not null and not isnan(score)")
+
+
+def _is_long(pred: DataFrame) -> bool:
+    return "labels" not in pred.columns
+
+
+def _true(truth: DataFrame) -> DataFrame:
+    return truth.select("row_id", F.explode(F.array_distinct(F.array_compact("labels"))).alias("label"))
+
+
+def _hits(truth: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
+    """``row_id, *by, label, hit`` of long predictions; joined by (row, label), so no row is in one place."""
+    true = _true(truth).withColumn("hit", F.lit(1))
+    return _scored(pred, by).drop("score").join(true, ["row_id", "label"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+
+
+def _set_sizes(truth: DataFrame, pred: DataFrame, by: list[str] | None) -> DataFrame:
+    """``row_id, *by, np, nt, tp``: predicted, true and common labels of each row."""
+    by = by or []
+    if not _is_long(pred):
+        return ranked(truth, pred, by).select("row_id", *by, F.size("p").alias("np"), F.size("t").alias("nt"), F.size(F.array_intersect("t", "p")).alias("tp"))
+    b = _hits(truth, pred, by).groupBy("row_id", *by).agg(F.count(F.lit(1)).alias("np"), F.sum("hit").alias("tp"))
+    t = truth.select("row_id", F.size(F.array_distinct(F.array_compact(F.coalesce("labels", F.array())))).alias("nt"))
+    none = F.lit(0).cast("long")
+    return t.join(b, "row_id", "inner" if by else "left").select("row_id", *by, F.coalesce("np", none).alias("np"), "nt", F.coalesce("tp", none).alias("tp"))
+
+
 def _at(r: DataFrame, k: int) -> DataFrame:
     hits = F.transform(F.slice("p", 1, k), lambda x: F.array_contains("t", x))
     return r.withColumn("h", hits).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k))))
@@ -94,9 +127,8 @@ def abandonment_at_k(truth, pred, k: int = 5, by=None) -> DataFrame:
 
 
 def hamming_loss(truth, pred, by=None) -> DataFrame:
-    r = ranked(truth, pred, by)
-    v = F.size("p") + F.size("t") - 2 * F.size(F.array_intersect("t", "p"))
-    return r.groupBy(*(by or [])).agg(F.avg(v).alias("hamming_loss"))
+    v = F.col("np") + F.col("nt") - 2 * F.col("tp")
+    return _set_sizes(truth, pred, by).groupBy(*(by or [])).agg(F.avg(v).alias("hamming_loss"))
 
 
 def _weighted(truth, pred, inv_ps: DataFrame, k: int, by) -> DataFrame:
@@ -164,15 +196,15 @@ def coverage_at_k(truth, pred, k: int = 5, by=None, outputs: int | None = None)
 
 
 def micro_f1(truth, pred, by=None) -> DataFrame:
-    r = ranked(truth, pred, by).withColumn("tp", F.size(F.array_intersect("t", "p")))
-    s = r.groupBy(*(by or [])).agg(F.sum("tp").alias("tp"), F.sum(F.size("p") + F.size("t")).alias("all"))
+    r = _set_sizes(truth, pred, by)
+    s = r.groupBy(*(by or [])).agg(F.sum("tp").alias("tp"), F.sum(F.col("np") + F.col("nt")).alias("all"))
     return s.select(*(by or []), F.try_divide(2 * F.col("tp"), "all").alias("micro_f1"))
 
 
 def samples_f1(truth, pred, zero_division: float = 0, by=None, semantics: str = "python") -> DataFrame:
-    r = ranked(truth, pred, by).withColumn("tp", F.size(F.array_intersect("t", "p")))
-    prec = F.when(F.size("p") > 0, F.try_divide("tp", F.size("p"))).otherwise(0.0)
-    rec = F.when(F.size("t") > 0, F.try_divide("tp", F.size("t"))).otherwise(F.lit(float(zero_division)))
+    r = _set_sizes(truth, pred, by)
+    prec = F.when(F.col("np") > 0, F.try_divide("tp", "np")).otherwise(0.0)
+    rec = F.when(F.col("nt") > 0, F.try_divide("tp", "nt")).otherwise(F.lit(float(zero_division)))
     r = r.withColumns({"pr": prec, "re": rec})
     if semantics == "cli":
         r = r.filter("pr > 0 and re > 0")
@@ -182,6 +214,8 @@ def samples_f1(truth, pred, zero_division: float = 0, by=None, semantics: str =
 
 def confusion_counts(truth, pred, by=None) -> DataFrame:
     """``*by, label, tp, fp, fn`` of every label that is true or predicted somewhere."""
+    if _is_long(pred):
+        return _long_confusion(truth, pred, by or [])
     r = ranked(truth, pred, by)
     kind = lambda arr, name: F.transform(arr, lambda x: F.struct(x.alias("label"), F.lit(name).alias("kind")))
     every = F.concat(kind(F.array_intersect("t", "p"), "tp"), kind(F.array_except("p", "t"), "fp"), kind(F.array_except("t", "p"), "fn"))
@@ -190,6 +224,16 @@ def confusion_counts(truth, pred, by=None) -> DataFrame:
     return e.groupBy(*(by or []), "label").agg(count("tp"), count("fp"), count("fn"))
 
 
+def _long_confusion(truth, pred, by: list[str]) -> DataFrame:
+    h = _hits(truth, pred.join(truth.select("row_id"), "row_id", "left_semi"), by)
+    rows = h.select("row_id", *by).distinct() if by else truth.select("row_id")
+    zero = F.lit(0).cast("long")
+    said = h.groupBy(*by, "label").agg(F.sum("hit").alias("tp"), F.sum(1 - F.col("hit")).alias("fp")).withColumn("t", zero)
+    true = rows.join(_true(truth), "row_id").groupBy(*by, "label").agg(F.count(F.lit(1)).alias("t")).withColumns({"tp": zero, "fp": zero})
+    c = said.unionByName(true).groupBy(*by, "label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("t").alias("t"))
+    return c.select(*by, "label", "tp", "fp", (F.col("t") - F.col("tp")).alias("fn"))
+
+
 def _macro(c: DataFrame, keys: list[str], numeric: bool, outputs: int | None, zero_division: float, values: dict) -> DataFrame:
     """Averages over labels 0..max (ints) or the labels seen (text); absent ones count ``zero_division``."""
     terms = {n: F.when(d > 0, F.try_divide(v, d)).otherwise(F.lit(float(zero_division))) for n, (v, d) in values.items()}
@@ -238,9 +282,16 @@ def cli_metrics(truth, pred, k: int = 5, outputs: int | None = None, by=None) ->
     the rows that it is defined for, with the standard deviation.
     """
     by = by or []
-    r = ranked(truth, pred, by).withColumn("k", F.lit(k))
-    r = r.withColumn("h", F.transform(F.slice("p", 1, k), lambda x: F.array_contains("t", x))).withColumn("tp", F.size(F.array_intersect("t", "p")).cast("double"))
-    np_, nt = F.size("p"), F.size("t")
+    if _is_long(pred):
+        r, sizes = ranked(truth, from_scores(pred, by, k), by), _set_sizes(truth, pred, by).drop("nt")
+        keys = ["row_id", *by]
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+        r = r.alias("a").join(sizes.alias("b"), same).select(*[f"a.{c}" for c in keys], "t", "p", "np", "tp")
+    else:
+        r = ranked(truth, pred, by).withColumns({"np": F.size("p"), "tp": F.size(F.array_intersect("t", "p"))})
+    r = r.withColumn("k", F.lit(k)).withColumn("tp", F.col("tp").cast("double"))
+    r = r.withColumn("h", F.transform(F.slice("p", 1, k), lambda x: F.array_contains("t", x)))
+    np_, nt = F.col("np"), F.size("t")
     hits = _cumulate(lambda i: F.lit(1.0))
     prec, rec = F.when(np_ > 0, F.try_divide("tp", np_)), F.when(nt > 0, F.try_divide("tp", nt))
     both = (np_ > 0) & (nt > 0) & (F.col("tp") > 0)
