@@ -242,3 +242,25 @@ def test_streamed_precision_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(pred.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "p"))
     got = {r["k"]: r["precision"] for r in read_result(precision_stream(stream, truth, 2)).collect()}
     assert got == {r["k"]: round(r["precision"], 6) for r in mx.precision_at_k(truth, pred, 2).collect()}
+
+
+@pytest.mark.parametrize("kind", [PLT, BR])
+def test_ensemble_scores_labels_that_a_member_lacks(spark, kind):
+    rng = np.random.default_rng(3)
+    x = spark.createDataFrame([(i, [(j, float(v)) for j, v in enumerate(rng.normal(size=6))]) for i in range(60)], "row_id long, features array<struct<idx int, val double>>")
+    y = spark.createDataFrame([(i, [i % 7]) for i in range(60)], "row_id long, labels array<int>")
+    m = kind(spark, ensemble=2, **({"tree_type": "completeKaryRandom"} if kind is PLT else {})).fit(x, y)
+    if kind is BR:  # members that disagree
+        m.members[1] = (None, m.members[1][1], m.members[1][2].withColumn("w", -F.col("w")))
+    rows, members = m._rows(x), []
+    for e in m.members:
+        members.append({(r["row_id"], r["label"]): r["score"] for r in m._predict_member(rows, e, 0, 0.0, None).collect()})
+    best = lambda a, i: sorted(range(7), key=lambda c: (-a[i, c], c))[:2]
+    for fill in (True, False):
+        want = {}
+        for i in range(60):
+            tops = [best(a, i) for a in members]
+            s = {c: sum(a[i, c] for a, t in zip(members, tops) if fill or c in t) / 2 for c in {*tops[0], *tops[1]}}
+            want.update({(i, c): s[c] for c in sorted(s, key=lambda c: (-s[c], c))[:2]})
+        got = {(r["row_id"], r["label"]): r["score"] for r in m.set_params(ens_missing_scores=fill).predict_proba(x, top_k=2).collect()}
+        assert got == pytest.approx(want)

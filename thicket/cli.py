@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output")
     p.add_argument("-m", "--model", default="plt", choices=sorted(KINDS))
     for flag, kind, default in (
-        ("seed", int, 42), ("ensemble", int, 0), ("hash", int, 0), ("bias", float, 1.0), ("norm", int, 1), ("featuresThreshold", float, 0.0), ("eps", float, 0.1), ("cost", float, 10.0),
+        ("seed", int, 42), ("ensemble", int, 0), ("ensMissingScores", int, 1), ("hash", int, 0), ("bias", float, 1.0), ("norm", int, 1), ("featuresThreshold", float, 0.0), ("eps", float, 0.1), ("cost", float, 10.0),
         ("maxIter", int, 100), ("loss", str, "logistic"), ("solver", str, None), ("optimizer", str, "liblinear"), ("weightsThreshold", float, 0.1), ("eta", float, 1.0), ("epochs", int, 1),
         ("tmax", int, -1), ("l2Penalty", float, 0.0), ("adagradEps", float, 0.001), ("arity", int, 2), ("treeType", str, "hierarchicalKmeans"), ("maxLeaves", int, 100), ("flattenTree", int, 0),
         ("kmeansEps", float, 0.0001), ("kmeansBalanced", int, 1), ("topK", int, None), ("threshold", float, 0.0), ("treeSearchType", str, "exact"), ("beamSearchWidth", int, 10),
@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def build(spark: SparkSession, a) -> Model:
-    kw = dict(bias=a.bias, norm=bool(a.norm), hash=a.hash, features_threshold=a.featuresThreshold, ensemble=a.ensemble, optimizer=a.optimizer, loss=a.loss, cost=a.cost, eps=a.eps, max_iter=a.maxIter,
+    kw = dict(bias=a.bias, norm=bool(a.norm), hash=a.hash, features_threshold=a.featuresThreshold, ensemble=a.ensemble, ens_missing_scores=bool(a.ensMissingScores), optimizer=a.optimizer, loss=a.loss, cost=a.cost, eps=a.eps, max_iter=a.maxIter,
               weights_threshold=a.weightsThreshold, eta=a.eta, epochs=a.epochs, tmax=a.tmax, l2=a.l2Penalty, adagrad_eps=a.adagradEps, seed=a.seed)
     if a.solver:
         kw["solver"] = a.solver

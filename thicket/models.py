@@ -24,10 +24,11 @@ from .sources.files import read_libsvm
 class Model:
     kind = ""
 
-    def __init__(self, spark: SparkSession, *, bias: float = 1.0, norm: bool = True, hash: int = 0, features_threshold: float = 0.0, ensemble: int = 0, **params):
+    def __init__(self, spark: SparkSession, *, bias: float = 1.0, norm: bool = True, hash: int = 0, features_threshold: float = 0.0, ensemble: int = 0, ens_missing_scores: bool = True, **params):
         self.spark = spark
         self.prep = {"bias": bias, "norm": norm, "hash_size": hash, "threshold": features_threshold}
         self.ensemble = ensemble
+        self.ens_missing_scores = ens_missing_scores
         own = {f.name for f in fields(TrainOptions)}
         self.options = TrainOptions(**{k: v for k, v in params.items() if k in own})
         if self.options.loss == "squaredHinge" and "solver" not in params:
@@ -42,10 +43,11 @@ class Model:
             raise TypeError(f"unknown parameters: {sorted(self.extra)}")
 
     def get_params(self) -> dict:
-        return {**self.prep, "ensemble": self.ensemble, **asdict(self.options), **self.extra}
+        return {**self.prep, "ensemble": self.ensemble, "ens_missing_scores": self.ens_missing_scores, **asdict(self.options), **self.extra}
 
     def set_params(self, **params) -> Model:
         self.options = replace(self.options, **{k: v for k, v in params.items() if hasattr(self.options, k)})
+        self.ens_missing_scores = params.get("ens_missing_scores", self.ens_missing_scores)
         for k, v in params.items():
             if k in self.prep:
                 self.prep[k] = v
@@ -72,6 +74,10 @@ class Model:
 
         ``threshold`` is a number or ``label, threshold``; both it and
         ``labels_weights(label, weight)`` hold for this call only.
+
+        Each member of an ensemble gives its own best labels.  The members that lack a
+        label another one gives score it as well, whatever its threshold; without
+        ``ens_missing_scores`` it counts 0 for them.
         """
         if not self.members:
             raise RuntimeError("the model is not fitted or loaded")
@@ -83,7 +89,20 @@ class Model:
         for i, m in enumerate(self.members):
             s = self._predict_member(rows, m, k, threshold, labels_weights).withColumn("member", F.lit(i))
             scores = s if scores is None else scores.unionByName(s)
-        return predict.ensemble_mean(scores, len(self.members), k)
+        if not self.ens_missing_scores:
+            return predict.ensemble_mean(scores, len(self.members), k)
+        scores = write_stage(scores, "members")
+        cand = scores.select("row_id", "label").distinct()
+        points = None
+        for i, m in enumerate(self.members):
+            lacking = cand.join(scores.filter(F.col("member") == i).select("row_id", "label"), ["row_id", "label"], "left_anti")
+            s = self._score_pairs(rows, m, lacking, labels_weights).withColumn("member", F.lit(i))
+            points = s if points is None else points.unionByName(s)
+        return predict.ensemble_filled(scores, points, len(self.members), k)
+
+    def _score_pairs(self, rows, member, pairs, label_weights) -> DataFrame:
+        """Scores of given (row, label) pairs, from scoring all labels."""
+        return self._predict_member(rows, member, 0, 0.0, label_weights).join(pairs, ["row_id", "label"], "left_semi")
 
     def predict(self, x, **kw) -> DataFrame:
         """``row_id, labels`` in rank order."""
@@ -104,14 +123,14 @@ class Model:
                 tree.write.mode("overwrite").parquet(f"{path}/member_{i}/tree")
             models.write.mode("overwrite").parquet(f"{path}/member_{i}/models")
             weights.repartition("node_id").sortWithinPartitions("node_id", "idx").write.mode("overwrite").parquet(f"{path}/member_{i}/weights")
-        text = json.dumps({"kind": self.kind, "prep": self.prep, "ensemble": self.ensemble, "options": asdict(self.options), "extra": self.extra, "members": len(self.members), "tree": self.members[0][0] is not None})
+        text = json.dumps({"kind": self.kind, "prep": self.prep, "ensemble": self.ensemble, "ens_missing_scores": self.ens_missing_scores, "options": asdict(self.options), "extra": self.extra, "members": len(self.members), "tree": self.members[0][0] is not None})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         c = json.loads(spark.read.text(f"{path}/config").first()[0])
         p = c["prep"]
-        m = {k.kind: k for k in (PLT, HSM, BR, OVR, MACH)}[c["kind"]](spark, bias=p["bias"], norm=p["norm"], hash=p["hash_size"], features_threshold=p["threshold"], ensemble=c["ensemble"], **c["options"], **c["extra"])
+        m = {k.kind: k for k in (PLT, HSM, BR, OVR, MACH)}[c["kind"]](spark, bias=p["bias"], norm=p["norm"], hash=p["hash_size"], features_threshold=p["threshold"], ensemble=c["ensemble"], ens_missing_scores=c.get("ens_missing_scores", True), **c["options"], **c["extra"])
         read = lambda i, t: spark.read.parquet(f"{path}/member_{i}/{t}")
         m.members = [(read(i, "tree") if c["tree"] else None, read(i, "models"), read(i, "weights")) for i in range(c["members"])]
         m.tree = m.members[0][0]
@@ -183,6 +202,9 @@ class PLT(_TreeModel):
             return predict.plt_beam(rows, tree, models, weights, k, self.extra.get("beam_search_width", 10), threshold, self.options.loss)
         return predict.plt_predict(rows, tree, models, weights, k, threshold if number else 0.0, None if number else threshold, label_weights, None, self.options.loss)
 
+    def _score_pairs(self, rows, member, pairs, label_weights):
+        return predict.apply_label_terms(predict.predict_for_label(rows, write_stage(pairs, "pairs"), *member, self.options.loss), label_weights)
+
 
 class HSM(_TreeModel):
     kind = "hsm"
