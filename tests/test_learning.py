@@ -264,3 +264,11 @@ def test_ensemble_scores_labels_that_a_member_lacks(spark, kind):
             want.update({(i, c): s[c] for c in sorted(s, key=lambda c: (-s[c], c))[:2]})
         got = {(r["row_id"], r["label"]): r["score"] for r in m.set_params(ens_missing_scores=fill).predict_proba(x, top_k=2).collect()}
         assert got == pytest.approx(want)
+
+
+def test_large_problems_refuse_what_they_would_ignore(spark):
+    rows = spark.createDataFrame([(i, [i % 2], [(0, 1.0 + i % 2)]) for i in range(20)], "row_id long, labels array<int>, features array<struct<idx int, val double>>")
+    a = rows.select(F.lit(0).alias("node_id"), "row_id", F.col("labels")[0].alias("y"))
+    for kw in ({"solver": "L1R_LR"}, {"optimizer": "adagrad"}, {"imbalance": True}):
+        with pytest.raises(ValueError, match="too large"):
+            train_problems(a, rows, TrainOptions(**kw), big_rows=10)
