@@ -272,3 +272,12 @@ def test_large_problems_refuse_what_they_would_ignore(spark):
     for kw in ({"solver": "L1R_LR"}, {"optimizer": "adagrad"}, {"imbalance": True}):
         with pytest.raises(ValueError, match="too large"):
             train_problems(a, rows, TrainOptions(**kw), big_rows=10)
+
+
+def test_names_of_missing_methods_are_refused(spark):
+    for loss in ("unLogistic", "pwLogistic"):
+        with pytest.raises(ValueError, match="inverse propensities"):
+            BR(spark, optimizer="sgd", loss=loss)
+    x = spark.createDataFrame([(0, [0], [(0, 1.0)])], "row_id long, labels array<int>, features array<struct<idx int, val double>>")
+    with pytest.raises(ValueError, match="unknown tree type"):
+        PLT(spark, tree_type="onlineKaryRandom").fit(x, x)
