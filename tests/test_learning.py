@@ -2,11 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thicket.models import BR, HSM, MACH, OVR, PLT, Model
+from thicket.models import BR, HSM, MACH, OPLT, OVR, PLT, XT, Model
 from thicket.operators import linear, predict
 from thicket.operators import metrics as mx
 from thicket.operators.extreme_text import predict_embedding_tree, train_embedding_tree
 from thicket.operators.train import TrainOptions, train_loss, train_problems
+from thicket.plans.stages import write_stage
 from thicket.streaming import ofo
 from thicket.streaming.online_plt import OnlineOptions, OnlinePLT
 
@@ -159,7 +160,7 @@ def test_one_vs_rest_blocks_and_distributed_agree(spark):
         m, w = train_one_vs_rest(d, o, **kw)
         assert {r["node_id"]: r["class_count"] for r in m.collect()} == {0: 2, 1: 2, 2: 2, 7: 1}
         got.append({(r["node_id"], r["idx"]): r["w"] for r in w.collect()})
-    assert got[0] == got[1] and got[0].keys() == got[2].keys() and all(abs(got[0][k] - got[2][k]) < 0.02 for k in got[0])
+    assert got[0] == pytest.approx(got[1]) and got[0].keys() == got[2].keys() and all(abs(got[0][k] - got[2][k]) < 0.02 for k in got[0])
 
 
 def test_block_scores_equal_the_join(spark, monkeypatch):
@@ -170,10 +171,55 @@ def test_block_scores_equal_the_join(spark, monkeypatch):
     norm = lambda df, c: {(r["row_id"], r[c]): round(r[-1], 9) for r in df.collect()}
     fast = norm(predict.all_values(rows, m, w), "node_id"), norm(predict.br_predict(rows, m, w, 2, loss="squaredHinge"), "label"), norm(predict.ovr_predict(rows, m, w, 3), "label")
     monkeypatch.setattr(predict, "SMALL_MODEL", -1)
+    monkeypatch.setattr(predict, "BLOCK_WEIGHTS", 9)
+    monkeypatch.setattr(predict, "CHUNK_CELLS", 100)
     slow = norm(predict.all_values(rows, m, w), "node_id"), norm(predict.br_predict(rows, m, w, 2, loss="squaredHinge"), "label"), norm(predict.ovr_predict(rows, m, w, 3), "label")
     assert fast == slow and len(fast[0]) == 62 * 5
 
 
+def test_tree_searches_equal_full_scoring(spark, monkeypatch):
+    """Exact and beam search with every kind of label term, broadcast and by parts, against products over all nodes."""
+    rng = np.random.default_rng(4)
+    from thicket.operators.trees import complete_tree
+
+    rows = spark.createDataFrame([(i, [(int(j), float(rng.normal())) for j in np.sort(rng.choice(12, 5, replace=False))]) for i in range(40)] + [(99, [])], "row_id long, features array<struct<idx:int,val:double>>")
+    norm = lambda df: {(r["row_id"], r["label"]): round(r["score"], 9) for r in df.collect()}
+
+    def best(scores, k):
+        out = {}
+        for r in {r for r, _ in scores}:
+            own = sorted(((-v, lab) for (x, lab), v in scores.items() if x == r))[:k]
+            out.update({(r, lab): -v for v, lab in own})
+        return out
+
+    tree = write_stage(complete_tree(spark, 23, 3), "tree")
+    ids = [r["node_id"] for r in tree.collect()]
+    w = spark.createDataFrame([(n, j, float(rng.normal())) for n in ids for j in range(12) if rng.random() < 0.6], "node_id int, idx int, w double")
+    m = spark.createDataFrame([(n, 2 - (n % 7 == 6), int(n % 5 > 0)) for n in ids if n != 4], "node_id int, class_count int, first_class int")
+    weight, bias, limit = {i: float(rng.choice([-1, 0.5, 2, 3])) for i in range(0, 19, 2)}, {i: float(rng.normal() / 10) for i in range(0, 19, 3)}, {i: 0.02 * (i % 4) for i in range(0, 19, 2)}
+    lw, lb, lt = (spark.createDataFrame(list(d.items()), f"label int, {n} double") for d, n in ((weight, "weight"), (bias, "bias"), (limit, "threshold")))
+    want = norm(predict.plt_scores(rows, tree, m, w))
+    termed = best({(r, lab): round(v * weight.get(lab, 1) + bias.get(lab, 0), 9) for (r, lab), v in want.items() if v >= limit.get(lab, 0.01)}, 4)
+    hsm = beam = None
+    for small in (10**6, -1):
+        monkeypatch.setattr(predict, "SMALL_MODEL", small)
+        monkeypatch.setattr(predict, "BLOCK_WEIGHTS", 40)
+        monkeypatch.setattr(predict, "CHUNK_CELLS", 60)
+        assert norm(predict.plt_predict(rows, tree, m, w, 3)) == best(want, 3)
+        assert norm(predict.plt_predict(rows, tree, m, w, 0, 0.05)) == {k: v for k, v in want.items() if v >= 0.05}
+        assert norm(predict.plt_predict(rows, tree, m, w, 4, 0.01, lt, lw, lb)) == pytest.approx(termed)
+        narrow, every = norm(predict.plt_beam(rows, tree, m, w, 3, width=2)), norm(predict.hsm_predict(rows, tree, m, w, 0))
+        if hsm is None:
+            hsm, beam = every, narrow
+            assert narrow != best(want, 3) and set(narrow.items()) <= set(want.items())
+            assert norm(predict.plt_beam(rows, tree, m, w, 3, width=50)) == best(want, 3)
+            evaluated = [r["evaluated"] for r in predict.evaluated_nodes(rows, tree, m, w, 1).collect()]
+            assert len(evaluated) == 41 and all(0 < e <= 2 * len(ids) for e in evaluated) and min(evaluated) < len(ids)
+            pairs = spark.createDataFrame([(r, lab) for r in (0, 7, 99) for lab in (0, 5, 77)], "row_id long, label int")
+            assert norm(predict.hsm_predict_for_label(rows, pairs, tree, m, w)) == {(r, lab): hsm.get((r, lab), 0) for r in (0, 7, 99) for lab in (0, 5, 77)}
+        assert every == hsm and narrow == beam and norm(predict.hsm_predict(rows, tree, m, w, 2)) == best(hsm, 2)
+
+
 def test_ofo(spark):
     rows = spark.createDataFrame([(0, [1], [(1, 0.9), (2, 0.6)]), (1, [2], [(1, 0.2), (2, 0.4)]), (2, None, None)], "row_id long, labels array<int>, probs array<struct<label:int,score:double>>")
     # thresholds by hand: 10/20 -> both of row 0 predicted: 11/23; row 1: none, 11/24
@@ -205,8 +251,9 @@ def test_online_tree_learns_from_a_stream(spark, tmp_path, policy):
     assert {lab for lab in m.label if lab >= 0} == set(range(6))
     pred = mx.from_scores(predict.tree_search(d.select("row_id", "features"), tree, models, weights, 3))
     assert p_at_1(spark, y, pred) > 0.6
-    m.save(str(tmp_path / "m.json"))
-    again = OnlinePLT.load(str(tmp_path / "m.json"))
+    m.save(spark, str(tmp_path / "m"))
+    again = OnlinePLT.load(spark, str(tmp_path / "m"))
+    assert OnlinePLT.resume(spark, str(tmp_path / "ck")).parent and OnlinePLT._last(spark, str(tmp_path / "none")) == -1
     assert again.parent == m.parent and again.base[1].w == m.base[1].w
     warm = OnlinePLT.warm_start(tree, weights).fit_batch(d.limit(20))
     assert warm.parent == m.parent
@@ -220,7 +267,7 @@ def test_embedding_tree(spark):
     x, y = blobs(spark, 300, 4)
     d = spark.createDataFrame([(i, y[i], [(j, float(abs(v))) if v >= 0 else (j + 10, float(abs(v))) for j, v in enumerate(r)]) for i, r in enumerate(x)], "row_id long, labels array<int>, features array<struct<idx:int,val:double>>")
     t = complete_tree(spark, 4, 2)
-    i, o = train_embedding_tree(d, t, dims=8, epochs=8, eta=0.5)
+    i, o = train_embedding_tree(d, t, dims=8, epochs=8, eta=0.5, shards=2)
     pred = mx.from_scores(predict_embedding_tree(d.select("row_id", "features"), t, i, o, 2))
     assert p_at_1(spark, y, pred) > 0.7
 
@@ -254,7 +301,7 @@ def test_ensemble_scores_labels_that_a_member_lacks(spark, kind):
         m.members[1] = (None, m.members[1][1], m.members[1][2].withColumn("w", -F.col("w")))
     rows, members = m._rows(x), []
     for e in m.members:
-        members.append({(r["row_id"], r["label"]): r["score"] for r in m._predict_member(rows, e, 0, 0.0, None).collect()})
+        members.append({(r["row_id"], r["label"]): r["score"] for r in m._predict_member(rows, e, 0, 0.0, (None, None)).collect()})
     best = lambda a, i: sorted(range(7), key=lambda c: (-a[i, c], c))[:2]
     for fill in (True, False):
         want = {}
@@ -266,18 +313,102 @@ def test_ensemble_scores_labels_that_a_member_lacks(spark, kind):
         assert got == pytest.approx(want)
 
 
-def test_large_problems_refuse_what_they_would_ignore(spark):
-    rows = spark.createDataFrame([(i, [i % 2], [(0, 1.0 + i % 2)]) for i in range(20)], "row_id long, labels array<int>, features array<struct<idx int, val double>>")
-    a = rows.select(F.lit(0).alias("node_id"), "row_id", F.col("labels")[0].alias("y"))
-    for kw in ({"solver": "L1R_LR"}, {"optimizer": "adagrad"}, {"imbalance": True}):
-        with pytest.raises(ValueError, match="too large"):
-            train_problems(a, rows, TrainOptions(**kw), big_rows=10)
+@pytest.mark.parametrize("kw", [
+    {"solver": "L2R_LR_DUAL"}, {"solver": "L2R_L2LOSS_SVC_DUAL", "loss": "squaredHinge"}, {"solver": "L2R_L1LOSS_SVC_DUAL"}, {"solver": "L1R_LR"}, {"solver": "L1R_L2LOSS_SVC"},
+    {"solver": "L2R_LR", "imbalance": True, "auto_c": "log"}, {"optimizer": "adagrad", "epochs": 2}, {"optimizer": "sgd", "l2": 0.01}])
+def test_large_problems_meet_the_optimum_of_small_ones(spark, kw):
+    """Two tree problems with own rows and one-vs-rest labels, below and above the switch, for every solver."""
+    from thicket.operators.train import train_one_vs_rest
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(90, 5)), 3)
+    x[:, 0] = 1
+    side = x @ rng.normal(size=5) + rng.normal(size=90)
+    d = spark.createDataFrame([(i, [int(v > 0.7), 2] if i % 3 else [int(v > 0.7)], [(j - 1, float(e)) for j, e in enumerate(r)]) for i, (r, v) in enumerate(zip(x, side))], "row_id long, labels array<int>, features array<struct<idx:int,val:double>>")
+    a = d.select(F.lit(7).alias("node_id"), "row_id", F.col("labels")[0].alias("y")).unionByName(d.filter("row_id < 60").select(F.lit(3).alias("node_id"), "row_id", (1 - F.col("labels")[0]).alias("y")))
+    tight = {"cost": 0.5, "eps": 1e-3 if kw.get("solver") != "L2R_L1LOSS_SVC_DUAL" else 0.05, "max_iter": 3000 if "L1LOSS" not in kw.get("solver", "") else 30, "weights_threshold": 0.0, **kw}
 
+    def objective(w, rows, y, cost):
+        z = (2 * y - 1) * (x[rows] @ w)
+        loss = np.logaddexp(0, -z) if "LR" in kw["solver"] else np.maximum(0, 1 - z) ** (2 if "L2LOSS" in kw["solver"] else 1)
+        return (np.abs(w).sum() if kw["solver"].startswith("L1R") else 0.5 * w @ w) + cost * loss.sum()
 
-def test_names_of_missing_methods_are_refused(spark):
+    got = []
+    for big in (10**6, 10):
+        for m, w in (train_problems(a, d.select("row_id", "features"), TrainOptions(**tight), big), train_one_vs_rest(d, TrainOptions(**tight), big_rows=big)):
+            vec = {}
+            for r in w.collect():
+                vec.setdefault(r["node_id"], np.zeros(5))[r["idx"] + 1] = r["w"]
+            got.append((vec, {r["node_id"]: (r["class_count"], round(r["loss"], 3), r["n"]) for r in m.collect()}))
+    for small, large in (got[0], got[2]), (got[1], got[3]):
+        assert small[0].keys() == large[0].keys() and small[1].keys() == large[1].keys()
+        if "optimizer" in kw:
+            assert small[1] == large[1] and all((small[0][n] == large[0][n]).all() for n in small[0])
+            continue
+        for n in small[0]:
+            if kw["solver"] != "L2R_L1LOSS_SVC_DUAL":
+                assert np.abs(small[0][n] - large[0][n]).max() < 0.01
+            if n == 7 and "imbalance" not in kw:
+                y = (side > 0.7).astype(float)
+                assert objective(large[0][n], slice(None), y, 0.5) <= objective(small[0][n], slice(None), y, 0.5) + 0.05
+
+
+def test_a_fold_equals_its_loop(spark):
+    """AdaGrad over a stream of sorted rows is the plain loop; label blocks take rows together; propensities weigh positives."""
+    from thicket.operators.train import train_one_vs_rest
+
+    x, y = blobs(spark, 70, 3)
+    d = spark.createDataFrame([(i, y[i], [(j, float(v)) for j, v in enumerate(r)]) for i, r in enumerate(x)], "row_id long, labels array<int>, features array<struct<idx:int,val:double>>").repartition(5)
+    c = linear.Csr(np.tile(np.arange(10), 70), x.ravel(), np.full(70, 10))
+    for loss, q in (("logistic", 1.0), ("unLogistic", 3.0), ("pwLogistic", 3.0)):
+        o = TrainOptions(optimizer="adagrad", loss=loss, epochs=2, weights_threshold=0.0)
+        inv = spark.createDataFrame([(0, 3.0), (1, 3.0), (2, 3.0)], "label int, inv_ps double")
+        _, w = train_one_vs_rest(d, o, block=2, inv_ps=inv)
+        got = {(r["node_id"], r["idx"]): r["w"] for r in w.collect()}
+        for lab in range(3):
+            _, want, *_ = linear.train_binary(c, [float(lab in v) for v in y], optimizer="adagrad", loss=loss, epochs=2, weights_threshold=0, q=q)
+            assert [got[lab, j] for j in range(10)] == pytest.approx(list(want))
+    a = d.select(F.lit(0).alias("node_id"), "row_id", F.array_contains("labels", 0).cast("int").alias("y"))
+    _, w = train_problems(a, d.select("row_id", "features"), TrainOptions(optimizer="sgd", epochs=3, tmax=100, l2=0.1, weights_threshold=0.0))
+    _, want, *_ = linear.train_binary(c, [float(0 in v) for v in y], optimizer="sgd", epochs=3, tmax=100, l2=0.1, weights_threshold=0)
+    assert [r["w"] for r in w.orderBy("idx").collect()] == pytest.approx(list(want))
+
+
+def test_online_and_embedding_models_persist(spark, tmp_path):
+    x, y = blobs(spark, 200, 5)
+    norm = lambda df: {(r["row_id"], r["label"]): round(r["score"], 9) for r in df.collect()}
+    m = OPLT(spark, max_leaves=2, epochs=2).fit(x, y)
+    assert p_at_1(spark, y, m.predict(x, top_k=2)) > 0.8 and m.evaluated(x).count() == 200
+    m.save(str(tmp_path / "o"))
+    again = Model.load(spark, str(tmp_path / "o"))
+    assert norm(again.predict_proba(x)) == norm(m.predict_proba(x))
+    again.fit(x, [[9]] * 200, resume=True)
+    assert again.predict_proba(x, top_k=0).filter("label = 9").count() == 200 and again.tree.filter("label >= 0").count() == 6
+    split = np.concatenate([np.maximum(x, 0), np.maximum(-x, 0)], 1)
+    e = XT(spark, dims=8, epochs=10, eta=0.5).fit(split, y)
+    assert p_at_1(spark, y, e.predict(split, top_k=2)) > 0.7
+    e.save(str(tmp_path / "e"))
+    assert norm(Model.load(spark, str(tmp_path / "e")).predict_proba(split)) == norm(e.predict_proba(split))
+
+
+def test_losses_with_propensities_need_them(spark):
+    x = spark.createDataFrame([(i, [i % 3], [(i % 3, 1.0)]) for i in range(9)], "row_id long, labels array<int>, features array<struct<idx int, val double>>")
     for loss in ("unLogistic", "pwLogistic"):
+        with pytest.raises(ValueError, match="sgd or adagrad"):
+            BR(spark, loss=loss)
         with pytest.raises(ValueError, match="inverse propensities"):
-            BR(spark, optimizer="sgd", loss=loss)
-    x = spark.createDataFrame([(0, [0], [(0, 1.0)])], "row_id long, labels array<int>, features array<struct<idx int, val double>>")
-    with pytest.raises(ValueError, match="unknown tree type"):
-        PLT(spark, tree_type="onlineKaryRandom").fit(x, x)
+            BR(spark, optimizer="sgd", loss=loss).fit(x, x)
+        with pytest.raises(ValueError, match="inverse propensities"):
+            PLT(spark, optimizer="sgd", loss=loss, tree_type="completeKaryInOrder").fit(x, x)
+
+
+def test_thresholds_and_biases_of_a_model(spark):
+    x, y = blobs(spark, 60, 4)
+    m = BR(spark).fit(x, y)
+    full = {(r["row_id"], r["label"]): r["score"] for r in m.predict_proba(x, top_k=0).collect()}
+    t = spark.createDataFrame([(i, 0.1 * i) for i in range(4)], "label int, threshold double")
+    m.set_thresholds(t)
+    assert {(r["row_id"], r["label"]) for r in m.predict_proba(x, top_k=0).collect()} == {k for k, v in full.items() if v > 0.1 * k[1]}
+    m.set_thresholds(None)
+    b = spark.createDataFrame([(3, 5.0)], "label int, bias double")
+    assert {r["label"] for r in m.predict_proba(x, top_k=1, labels_biases=b).collect()} == {3}

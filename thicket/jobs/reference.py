@@ -203,7 +203,7 @@ def tree_kmeans(spark, d):
 
 def tree_online(spark, d):
     seen = files.first_seen_ids(vectors(spark, d).select(F.lit(0).alias("file_no"), "row_id", "labels"))
-    return trees.online_complete_tree(spark, seen, 2)
+    return trees.online_tree(spark, seen, 2)
 
 
 def ancestor_closure(spark, d):

@@ -2,8 +2,9 @@
 
 A stage cuts lineage like ``checkpoint()`` but is columnar and compressed, keeps
 its size for the planner, and survives the loss of any executor.  The folder is
-the one the session names in ``spark.checkpoint.dir``; only where that is unset
-(tests, notebooks) a temporary local folder is made.
+inside the one the session names in ``spark.checkpoint.dir``; only where that is
+unset (tests, notebooks) a temporary local folder is made.  Stages that no later
+plan reads are dropped by their makers, the others with the application.
 """
 
 from __future__ import annotations
@@ -12,25 +13,46 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
+    """This application's own folder; it is removed when the program ends, or by ``drop_stages``."""
     key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = tempfile.mkdtemp(prefix="thicket-stages-")
-        atexit.register(shutil.rmtree, _LOCAL[key], ignore_errors=True)
-    return "file://" + _LOCAL[key]
+    if key not in _ROOTS:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                warnings.warn("spark.checkpoint.dir is unset: stages go to a folder of this machine, which a cluster's executors don't share", stacklevel=2)
+            local = tempfile.mkdtemp(prefix="thicket-stages-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            named = "file://" + local
+        _ROOTS[key] = f"{named.rstrip('/')}/thicket-{key}"
+        atexit.register(_at_exit, spark, key)
+    return _ROOTS[key]
+
+
+def _at_exit(spark: SparkSession, key: str) -> None:
+    if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == key:
+        drop_stages(spark)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stages of this application; results that still read them are void."""
+    root = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if root:
+        try:
+            delete_path(spark, root)
+        except Exception:  # noqa: BLE001  the engine may have ended before us
+            pass
 
 
 def stage_path(spark: SparkSession, name: str = "stage") -> str:
-    return f"{stage_root(spark)}/thicket-{name}-{uuid.uuid4().hex}"
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -50,10 +72,25 @@ def drop_stage(df: DataFrame | None) -> None:
         delete_path(df.sparkSession, path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Full names of what lies in a folder; nothing if there is none."""
+    fs, p = _file_system(spark, path)
+    return [s.getPath().toString() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def is_empty(df: DataFrame) -> bool:
