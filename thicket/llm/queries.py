@@ -57,20 +57,30 @@ def p5_report(spark, d):
     return overlap_report(pairs, members, r.select("rec", "subset", "dataset_id"))
 
 
-def p6_members(spark, d):
+def _p6(spark, d):
     return density_clusters(_t(spark, d, "similarities"))
 
 
 def p6_found(spark, d):
-    return p6_members(spark, d).select("point_idx", "cluster_idx")
+    return _p6(spark, d).select("point_idx", "cluster_idx")
+
+
+def p6_members(spark, d):
+    """Clustered points with their density and the cosine to their nearest denser neighbour (null for peaks)."""
+    return _p6(spark, d).select("point_idx", "cluster_idx", "density", F.round("cosine", 6).alias("cosine"))
 
 
 def p6_clusters(spark, d):
-    return describe_clusters(p6_members(spark, d))
+    """Clusters with their size, number of peaks and three most typical points, joined by commas."""
+    return describe_clusters(_p6(spark, d)).withColumn("typical", F.array_join("typical", ","))
+
 
+def _p7(spark, d, *least):
+    return associations(records(_t(spark, d, "data_points"), "labels").select(F.col("labels").alias("items")), *least)
 
-def _p7(spark, d, min_count):
-    return associations(records(_t(spark, d, "data_points"), "labels").select(F.col("labels").alias("items")), min_count)
+
+def _lifted(pairs):
+    return pairs.filter(F.col("n_ab") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")).select("label_a", "label_b")
 
 
 def p7_pairs(spark, d):
@@ -78,7 +88,13 @@ def p7_pairs(spark, d):
 
 
 def p7_found(spark, d):
-    return _p7(spark, d, 5).filter(F.col("n_ab") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")).select("label_a", "label_b")
+    """Each label in at least 5 records."""
+    return _lifted(_p7(spark, d, 5))
+
+
+def p7_together(spark, d):
+    """As p7_found, but both labels together in at least 5 records."""
+    return _lifted(_p7(spark, d, 1, 5))
 
 
 def p8_ids(spark, d):
@@ -92,6 +108,13 @@ def p8_roundtrip(spark, d):
     return back.select("doc_id", F.coalesce("n_ids", F.lit(0)).alias("n_ids"), F.col("text").eqNullSafe(F.col("back")).alias("same"))
 
 
+def p8_decoded(spark, d):
+    """The texts again, from their ids."""
+    docs = _t(spark, d, "documents")
+    ids = docs.select("doc_id", token_ids(spark, F.col("text")).alias("ids"))
+    return ids.select("doc_id", decoded(spark, F.col("ids")).alias("text"))
+
+
 def _p9(spark, d):
     docs = _t(spark, d, "documents")
     # quality: complete files weigh more than fragments; unknown cue counts little
@@ -108,6 +131,18 @@ def p9_report(spark, d):
     return _p9(spark, d)[1]
 
 
+def p9_audit(spark, d):
+    """The report of each source against its draw: shares, repeats, and the distance from its target."""
+    draw, report = _p9(spark, d)
+    got = draw.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("got"), F.max("times").alias("most"), F.max("size").alias("largest"))
+    every = got.agg(F.sum("got").alias("every"))  # one row
+    j = report.join(got, "source", "left").join(F.broadcast(every), how="cross").fillna(0, ["got", "most", "largest"])
+    share = F.abs(F.col("actual_share") - F.coalesce(F.try_divide("got", "every"), F.lit(0.0))) < 1e-12
+    # half of the last record, or all repeats used up
+    near = (F.abs(F.col("got") - F.col("target")) <= F.col("largest") / 2 + 1) | (F.col("got") == F.col("available") * F.col("max_repeats"))
+    return j.select("source", (share & (F.col("got") == F.col("taken"))).alias("shares_agree"), (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), near.alias("target_met"))
+
+
 def p10_found(spark, d):
     return span_pairs(*shared_spans(_t(spark, d, "documents")))
 
@@ -118,7 +153,7 @@ def p10_coverage(spark, d):
 
 
 def queries():
-    every = (p1_found, p1_terms, p3_found, p3_top, p5_found, p5_report, p6_found, p6_clusters, p6_members, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_draw, p9_report, p10_found, p10_coverage)
+    every = (p1_found, p1_terms, p3_found, p3_top, p5_found, p5_report, p6_found, p6_clusters, p6_members, p7_found, p7_pairs, p7_together, p8_ids, p8_decoded, p8_roundtrip, p9_draw, p9_report, p9_audit, p10_found, p10_coverage)
     return {f.__name__: f for f in every}
 
 
@@ -135,14 +170,22 @@ p as (select a.row_id a, b.row_id b, count(*) c from i a join i b using (idx) wh
 q as (select a, b, c, na.n + nb.n - c u, nb.s subset, nb.d dataset_id from p join n na on na.row_id = a join n nb on nb.row_id = b where 5 * c >= 4 * (na.n + nb.n - c))"""
 _SIM = """with recursive v as (select distinct point_idx p, s.idx i, s.val v from (select point_idx, unnest(sim_values) s from similarities) where s.val <> 0 and not isnan(s.val)),
 u as (select p, i, v / sqrt(sum(v * v) over (partition by p)) v from v),
-e as (select a.p a, b.p b from u a join u b on a.i = b.i and a.p <> b.p group by 1, 2 having sum(a.v * b.v) >= 0.9),
+e as (select a.p a, b.p b, sum(a.v * b.v) c from u a join u b on a.i = b.i and a.p <> b.p group by 1, 2 having sum(a.v * b.v) >= 0.9),
 reach(p, c) as (select distinct a, a from e union select reach.p, e.b from reach join e on e.a = reach.c),
-g as (select p point_idx, min(c) cluster_idx from reach group by 1)"""
-_COOC = f"""with {_REC}, i as (select distinct row_id, item from (select row_id, unnest(x.l) item from r) where item is not null),
-m as (select item, count(*) n from i group by 1 having count(*) >= 5), k as (select count(*) n from r),
+g as (select p point_idx, min(c) cluster_idx from reach group by 1),
+n as (select a p, count(*) density from e group by 1),
+m as (select point_idx, cluster_idx, any_value(x.density) density, max(e.c) filter (y.density > x.density or (y.density = x.density and y.p < x.p)) cosine
+  from g join n x on x.p = point_idx join e on e.a = point_idx join n y on y.p = e.b group by 1, 2)"""
+
+
+def _cooc(least):
+    return f"""with {_REC}, i as (select distinct row_id, item from (select row_id, unnest(x.l) item from r) where item is not null),
+m as (select item, count(*) n from i group by 1 having count(*) >= {least}), k as (select count(*) n from r),
 p as (select a.item label_a, b.item label_b, count(*) n_ab from i a join i b on a.row_id = b.row_id and a.item < b.item group by 1, 2)
 select label_a, label_b, n_ab, a.n n_a, b.n n_b, k.n n, n_ab * k.n / (a.n::double * b.n) lift, log2(n_ab * k.n / (a.n::double * b.n)) pmi
 from p join m a on a.item = label_a join m b on b.item = label_b, k"""
+
+
 _COVER = """with w as (select doc_id, i, substr(text, i, 200) s from (select doc_id, text, unnest(range(1, length(text) - 198)) i from documents where length(text) >= 200)),
 m as (select s from w group by 1 having count(distinct doc_id) > 1),
 g as (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) n from w join m using (s)), c as (select doc_id, sum(n) n from g group by 1)
@@ -162,8 +205,14 @@ def oracle_sql():
             select s subset, d dataset_id, count(*) records, sum((coalesce(j, 0) = 1)::int)::bigint exact, sum((coalesce(j, 2) < 1)::int)::bigint near
             from n left join best on b = row_id where s in ('test', 'validation') group by 1, 2""",
         "p6_found": f"{_SIM} select point_idx, cluster_idx from g",
-        "p7_pairs": _COOC,
-        "p7_found": f"select label_a, label_b from ({_COOC}) where n_ab * n >= 5 * n_a * n_b",
+        "p6_members": f"{_SIM} select point_idx, cluster_idx, density, round(cosine, 6) cosine from m",
+        "p6_clusters": f"""{_SIM}, o as (select *, row_number() over (partition by cluster_idx order by density desc, point_idx) pos from m)
+            select cluster_idx, count(*) size, sum((cosine is null)::int)::bigint peaks, string_agg(point_idx::varchar, ',' order by pos) filter (pos <= 3) typical from o group by 1""",
+        "p7_pairs": _cooc(1),
+        "p7_found": f"select label_a, label_b from ({_cooc(5)}) where n_ab * n >= 5 * n_a * n_b",
+        "p7_together": f"select label_a, label_b from ({_cooc(1)}) where n_ab >= 5 and n_ab * n >= 5 * n_a * n_b",
+        "p8_decoded": "select doc_id, text from documents",
+        "p9_audit": "select distinct source, true shares_agree, true within_repeats, true target_met from mix_targets where source is not null",
         "p10_coverage": _COVER,
         "p10_found": f"{_SPANS} select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from h a join h b using (s) where a.doc_id < b.doc_id",
     }
