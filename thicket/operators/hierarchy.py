@@ -91,32 +91,6 @@ def _reduced(roots: DataFrame, walks: DataFrame, splitters: DataFrame) -> DataFr
     return walks.join(splitters, ["t", "n"], "left_semi").join(rootmark, ["t", "to"], "left").select("t", "n", "to", "seg", (F.col("loop") | own).alias("loop"), live.alias("live"))
 
 
-def tree_roots(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
-    """``tree_id, node_id, root_id`` alone: as ``hierarchy``, but no path is ever built above a splitter.
-
-    Memory therefore doesn't depend on the depth.  The splitters' pointers double each
-    round; a round in which none arrives leaves only those that run in a circle.
-    """
-    roots, walks, splitters = _walk_to_splitters(nodes, split_every)
-    cur = write_stage(_reduced(roots, walks, splitters).drop("seg"), "splitters")
-    left, before = cur.filter("live").count(), None
-    while left and left != before:
-        far = cur.select("t", F.col("n").alias("to"), F.col("to").alias("_to"), F.col("loop").alias("_loop"), F.col("live").alias("_live"))
-        moved = cur.filter("live").join(far, ["t", "to"]).select("t", "n", F.col("_to").alias("to"), F.col("_loop").alias("loop"), F.col("_live").alias("live"))
-        new = write_stage(cur.filter("not live").unionByName(moved.select(*cur.columns)), "splitters")
-        drop_stage(cur)
-        cur, before, left = new, left, new.filter("live").count()
-    none = F.lit(-1)
-    top = cur.select("t", F.col("n").alias("to"), F.when(F.col("loop") | F.col("live"), none).otherwise(F.col("to")).alias("_root"))
-    atroot = roots.select("t", F.col("n").alias("to"), F.col("n").alias("_end"))
-    ended = walks.filter("not loop").select("t", "n", "to").join(atroot, ["t", "to"], "left")
-    out = roots.select("t", "n", F.col("n").alias("root"))
-    out = out.unionByName(walks.filter("loop").select("t", "n", none.alias("root")))
-    out = out.unionByName(ended.filter("_end is not null").select("t", "n", F.col("_end").alias("root")))
-    out = out.unionByName(ended.filter("_end is null").join(top, ["t", "to"]).select("t", "n", F.col("_root").alias("root")))
-    return out.select(F.col("t").alias("tree_id"), F.col("n").alias("node_id"), F.col("root").alias("root_id"))
-
-
 def hierarchy(nodes: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
     """One row per node: ``tree_id, node_id, root_id, depth, path, status, walk``.
 
