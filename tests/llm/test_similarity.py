@@ -54,7 +54,7 @@ def test_overlap_hot_copies_and_empty(spark):
     assert p.count() == 0 and m.count() == 0
 
 
-def _brute(points):
+def _units(points):
     vec = {}
     for p, v in points:
         if p is None:
@@ -66,6 +66,11 @@ def _brute(points):
         if d:
             n = math.sqrt(sum(x * x for x in d.values()))
             vec[p] = {k: x / n for k, x in d.items()}
+    return vec
+
+
+def _brute(points):
+    vec = _units(points)
     near = {a: [b for b in vec if b != a and sum(x * vec[b].get(k, 0) for k, x in vec[a].items()) >= 0.9] for a in vec}
     lab = {a: a for a in vec}
     while True:
@@ -75,10 +80,11 @@ def _brute(points):
         lab = new
 
 
-@pytest.mark.parametrize("tile,small", [(512, 48), (7, 3)])
-def test_clusters_against_brute_force(spark, monkeypatch, tile, small):
+@pytest.mark.parametrize("tile,dense,near", [(1024, 2_000_000, 8), (7, 40, 2), (1024, -1, 1)])
+def test_clusters_against_brute_force(spark, monkeypatch, tile, dense, near):
     monkeypatch.setattr(density, "TILE", tile)
-    monkeypatch.setattr(density, "SMALL", small)
+    monkeypatch.setattr(density, "DENSE", dense)
+    monkeypatch.setattr(density, "NEAR", near)
     rng = random.Random(8)
     pts = []
     for c in range(14):
@@ -94,7 +100,13 @@ def test_clusters_against_brute_force(spark, monkeypatch, tile, small):
     rows = got.collect()
     assert {r["point_idx"]: (r["cluster_idx"], r["density"]) for r in rows} == _brute(pts)
     rank = {r["point_idx"]: (r["density"], -r["point_idx"]) for r in rows}
-    assert all(r["uphill"] is None or rank[r["uphill"]] > rank[r["point_idx"]] for r in rows)
+    vec = _units(pts)
+    for r in rows:  # the nearest of all denser neighbours
+        p = r["point_idx"]
+        cos = {q: sum(x * vec[q].get(k, 0) for k, x in vec[p].items()) for q in rank if rank[q] > rank[p]}
+        best = max((c for c in cos.values() if c >= 0.9), default=None)
+        assert (r["uphill"] is None) == (best is None)
+        assert best is None or (cos[r["uphill"]] == pytest.approx(best) and r["cosine"] == pytest.approx(best))
     info = describe_clusters(got, 2).collect()
     assert sum(r["size"] for r in info) == len(rows)
     for r in info:
