@@ -118,18 +118,26 @@ def test_spans_against_brute_force(spark, monkeypatch, few):
     assert {r["doc_id"]: (r["n_chars"], r["shared_chars"]) for r in span_coverage(df, *found, length=20, gram=8).collect()} == cover
 
 
-def test_index_is_incremental_and_compacts(spark):
+def test_index_is_incremental_and_compacts(spark, tmp_path):
+    """Every batch comes from an index opened anew on the folder, as in separate jobs."""
     docs = [(i, t) for i, t in _docs(9) if t]
-    index = FingerprintIndex(spark, length=20, gram=8, fanout=2)
     got = set()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for k in range(4):
-        hits = index.add(df.filter(F.col("doc_id") % 4 == k))
+        with FingerprintIndex(spark, length=20, gram=8, fanout=2, path=str(tmp_path / "index")) as index:
+            hits = index.add(df.filter(F.col("doc_id") % 4 == k))
+            runs = list(index.runs)
         upto = df.filter(F.col("doc_id") % 4 <= k)
         got |= {(r["doc_id_a"], r["doc_id_b"]) for r in span_pairs(*verify_spans(hits, upto, 20, 8), length=20, gram=8).collect()}
-    assert len(index.runs) == 1 and index.runs[0][0] == 2
-    index.close()
+    assert len(runs) == 1 and runs[0][0] == 2
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["manifest-4", runs[0][2].rsplit("/", 1)[1]]
     assert got == _brute(docs, 20)[0]
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, length=30, gram=8, path=str(tmp_path / "index"))
+    own = FingerprintIndex(spark, length=20, gram=8)
+    own.add(df)
+    own.close()
+    assert not any(t.name.startswith("thicket_run") for t in spark.catalog.listTables())
 
 
 def test_winnowing_keeps_a_window_of_every_stretch():

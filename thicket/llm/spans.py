@@ -20,13 +20,14 @@ pair that isn't real.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.stages import delete_path, stage_path, write_stage
+from ..plans.stages import delete_path, list_path, path_exists, stage_path, write_stage
 
 GRAM = 100
 FEW = 32  # classes of one window that are compared directly; more are grouped by text
@@ -85,17 +86,57 @@ def winnow(text: str, gram: int, window: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window hashes in the shared folder, compacted level by level."""
+    """Sorted immutable runs of window hashes in the shared folder, compacted level by level.
 
-    def __init__(self, spark: SparkSession, length: int = 200, gram: int = GRAM, fanout: int = 4, buckets: int | None = None):
+    With a ``path`` the index outlives the session: after every batch a new manifest
+    names the runs that count, and a later index on the same path goes on from it.  A
+    job that dies between leaves the last manifest and its runs whole; the same batch
+    can be added again.  Without a path the runs are the index's own and end with it.
+    """
+
+    def __init__(self, spark: SparkSession, length: int = 200, gram: int = GRAM, fanout: int = 4, buckets: int | None = None, path: str | None = None):
         if not 0 < gram < length:
             raise ValueError("gram must be shorter than length")
-        self.spark, self.length, self.gram, self.fanout = spark, length, gram, fanout
+        self.spark, self.length, self.gram, self.fanout, self.path = spark, length, gram, fanout, path and path.rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str, str]] = []  # level, table, path
+        self.version = 0
+        if self.path:
+            self._reopen()
+
+    def __enter__(self) -> FingerprintIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _reopen(self) -> None:
+        done = [p for p in list_path(self.spark, self.path) if "/manifest-" in p and path_exists(self.spark, f"{p}/_SUCCESS")]
+        self.version = max((int(p.rsplit("-", 1)[1]) for p in done), default=0)
+        if not self.version:
+            return
+        m = json.loads(self.spark.read.text(f"{self.path}/manifest-{self.version}").first()[0])
+        if (m["length"], m["gram"]) != (self.length, self.gram):
+            raise ValueError(f"the index was built for stretches of {m['length']} and windows of {m['gram']} characters")
+        self.buckets = m["buckets"]
+        for level, name in m["runs"]:
+            table, path = f"thicket_run_{uuid.uuid4().hex}", f"{self.path}/{name}"
+            self.spark.sql(f"CREATE TABLE {table} (h BIGINT, doc_id BIGINT, pos INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.runs.append((level, table, path))
+
+    def _commit(self, replaced: list) -> None:
+        """Name the runs that count; what they replace goes only then."""
+        if self.path:
+            m = {"length": self.length, "gram": self.gram, "buckets": self.buckets, "runs": [(r[0], r[2].rsplit("/", 1)[1]) for r in self.runs]}
+            self.version += 1
+            self.spark.createDataFrame([(json.dumps(m),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version}")
+            delete_path(self.spark, f"{self.path}/manifest-{self.version - 1}")
+        for r in replaced:
+            self._drop(r)
 
     def _write_run(self, hashes: DataFrame, level: int) -> tuple[int, str, str]:
-        name, path = f"thicket_run_{uuid.uuid4().hex}", stage_path(self.spark, "run")
+        name = f"thicket_run_{uuid.uuid4().hex}"
+        path = f"{self.path}/{name}" if self.path else stage_path(self.spark, "run")
         parts = hashes.repartition(self.buckets, "h").sortWithinPartitions("h")
         parts.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).option("compression", "zstd").saveAsTable(name)
         return level, name, path
@@ -143,10 +184,12 @@ class FingerprintIndex:
             hits = part if hits is None else hits.unionByName(part)
         hits = write_stage(hits, "hits")
         self.runs.append(new)
-        self._compact()
+        self._commit(self._compact())
         return hits
 
-    def _compact(self) -> None:
+    def _compact(self) -> list:
+        """Merge full levels; returns the runs that are replaced."""
+        old = []
         for level in range(len(self.runs) + 1):
             same = [r for r in self.runs if r[0] == level]
             if len(same) < self.fanout:
@@ -154,14 +197,17 @@ class FingerprintIndex:
             union = self.spark.table(same[0][1])
             for r in same[1:]:
                 union = union.unionByName(self.spark.table(r[1]))
-            merged = self._write_run(union, level + 1)
-            self.runs = [r for r in self.runs if r[0] != level] + [merged]
-            for r in same:
-                self._drop(r)
+            self.runs = [r for r in self.runs if r[0] != level] + [self._write_run(union, level + 1)]
+            old += same
+        return old
 
     def close(self) -> None:
+        """Forget the tables; runs without a path are deleted."""
         for r in self.runs:
-            self._drop(r)
+            if self.path:
+                self.spark.sql(f"DROP TABLE IF EXISTS {r[1]}")
+            else:
+                self._drop(r)
         self.runs = []
 
 
@@ -251,20 +297,21 @@ def exact_copies(documents: DataFrame, length: int = 200) -> DataFrame:
     return keyed.join(groups.select("k", "rep"), "k").filter("doc_id <> rep").select("doc_id", "rep")
 
 
-def shared_spans(documents: DataFrame, length: int = 200, gram: int = GRAM, batches: int = 2):
+def shared_spans(documents: DataFrame, length: int = 200, gram: int = GRAM, batches: int = 3, fanout: int = 2):
     """Index ``documents`` in ``batches`` parts (by a hash of their id) and verify all hits.
 
+    Each part meets the runs before it; every ``fanout`` runs of a level are compacted.
+
     Returns the three relations of ``verify_spans`` over one document of each group of
     exact copies, and ``copies(doc_id, rep)``: a group of any size is verified once.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    index = FingerprintIndex(spark, length, gram)
     hits = None
-    for k in range(batches):
-        got = index.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-        hits = got if hits is None else hits.unionByName(got)
-    index.close()
+    with FingerprintIndex(spark, length, gram, fanout) as index:
+        for k in range(batches):
+            got = index.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+            hits = got if hits is None else hits.unionByName(got)
     copies = write_stage(exact_copies(docs, length), "copies")
     single = hits.join(copies.select("doc_id"), "doc_id", "left_anti")
     still = single.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
