@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ranking import top_positions
+from ..plans.stages import write_stage
 
 
 def counting_scores(predictions: DataFrame) -> DataFrame:
@@ -23,5 +24,6 @@ def top_n_per_group(predictions: DataFrame, n: int = 5) -> DataFrame:
     """``run_id, row_id, label, score, position``: the first ``n`` labels by score descending, label ascending.
 
     Groups with null run or row ids are groups like others.  Empty input: no rows.
+    The counting rows are written once: the sort reads them twice, to find its ranges and to sort.
     """
-    return top_positions(counting_scores(predictions), ["run_id", "row_id"], [F.col("score").desc(), F.col("label").asc()], n)
+    return top_positions(write_stage(counting_scores(predictions), "counting"), ["run_id", "row_id"], [F.col("score").desc(), F.col("label").asc()], n)
