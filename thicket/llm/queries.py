@@ -31,6 +31,12 @@ def p1_found(spark, d):
     return p1_terms(spark, d).filter("mark is not null").select("item_kind", "item", "mark")
 
 
+def p1_ngrams(spark, d):
+    """Runs of up to three label ids, as they follow each other in the label lists (ids joined by blanks)."""
+    lists = write_stage(records(_t(spark, d, "data_points"), "label_list"), "records")
+    return sequence_counts(lists, {"label": "label_list"}, 3).select("item_kind", "n", F.array_join("gram", " ").alias("gram"), "occurrences", "records")
+
+
 def p3_top(spark, d):
     return top_n_per_group(_t(spark, d, "predictions"), 5)
 
@@ -153,7 +159,7 @@ def p10_coverage(spark, d):
 
 
 def queries():
-    every = (p1_found, p1_terms, p3_found, p3_top, p5_found, p5_report, p6_found, p6_clusters, p6_members, p7_found, p7_pairs, p7_together, p8_ids, p8_decoded, p8_roundtrip, p9_draw, p9_report, p9_audit, p10_found, p10_coverage)
+    every = (p1_found, p1_terms, p1_ngrams, p3_found, p3_top, p5_found, p5_report, p6_found, p6_clusters, p6_members, p7_found, p7_pairs, p7_together, p8_ids, p8_decoded, p8_roundtrip, p9_draw, p9_report, p9_audit, p10_found, p10_coverage)
     return {f.__name__: f for f in every}
 
 
@@ -197,6 +203,9 @@ m as (select s from w group by 1 having count(*) > 1), h as (select w.* from w j
 def oracle_sql():
     return {
         "p1_terms": _TERMS,
+        "p1_ngrams": f"""with {_REC}, l as (select row_id, list_filter(x.l, lambda v: v is not null) l from r),
+            g as (select row_id, n::int n, array_to_string(l[i:i + n - 1], ' ') gram from l, range(1, 4) s(n), range(1, (select coalesce(max(len(l)), 0) + 1 from l)) t(i) where i + n - 1 <= len(l))
+            select 'label' item_kind, n, gram, count(*) occurrences, count(distinct row_id) records from g group by 2, 3""",
         "p1_found": f"select item_kind, item, mark from ({_TERMS}) where mark is not null",
         "p3_top": _TOP,
         "p3_found": f"select run_id, row_id, label from ({_TOP})",
