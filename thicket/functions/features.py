@@ -128,5 +128,25 @@ def subtract(a: Column, b: Column) -> Column:
     return combine(F.concat(a, scale(b, -1.0)))
 
 
+def divide(features: Column, by: Column | float) -> Column:
+    """Divided by a number; by zero every value is null and the vector empty."""
+    return F.filter(F.transform(features, lambda f: _pair(f["idx"], F.try_divide(f["val"], F.lit(by) if isinstance(by, (int, float)) else by))), lambda f: f["val"].isNotNull())
+
+
+def invert(features: Column) -> Column:
+    """1 / value of every entry; entries are never zero."""
+    return F.transform(features, lambda f: _pair(f["idx"], F.try_divide(F.lit(1.0), f["val"])))
+
+
+def axpy(a: Column, by: Column | float, b: Column) -> Column:
+    """``a + by * b``."""
+    return combine(F.concat(a, scale(b, by)))
+
+
+def zero_at(features: Column, idx: Column | int) -> Column:
+    """Without the entry of an index."""
+    return F.filter(features, lambda f: f["idx"] != idx)
+
+
 def prune_weights(weights: Column, t: float = 0.1) -> Column:
     return threshold_abs(weights, t)

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..models import BR, HSM, MACH, OVR, PLT
-from ..operators import labels, metrics, predict, trees
-from ..operators.extreme_text import predict_embedding_tree, train_embedding_tree
+from ..models import BR, HSM, MACH, OVR, PLT, XT
+from ..operators import labels, metrics, predict
 from ..plans.stages import write_stage
 from ..streaming import ofo
 from ..streaming.online_plt import OnlineOptions, OnlinePLT
-from .reference import K, ranking, vectors
+from .reference import points, ranking, vectors
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -45,8 +44,6 @@ def _named(name, f):
 
 def online_plt(spark, d):
     """A growing tree fed by a file stream of the training rows."""
-    import tempfile
-
     from ..plans.stages import stage_path
 
     train, test = _split(spark, d)
@@ -54,8 +51,7 @@ def online_plt(spark, d):
     path = stage_path(spark, "stream")
     rows.repartitionByRange(4, "row_id").write.parquet(path)
     m = OnlinePLT(OnlineOptions(max_leaves=4))
-    with tempfile.TemporaryDirectory() as state:  # the driver's own state; the stream's data is in the shared folder
-        m.fit_stream(spark.readStream.schema(rows.schema).parquet(path), state).awaitTermination()
+    m.fit_stream(spark.readStream.schema(rows.schema).parquet(path), stage_path(spark, "state")).awaitTermination()
     pred = predict.tree_search(test.select("row_id", fx.prepare(F.col("features")).alias("features")), *m.tables(spark), 3)
     return _quality(test, metrics.from_scores(pred))
 
@@ -64,9 +60,26 @@ def extreme_text(spark, d):
     train, test = _split(spark, d)
     # signed dimensions become two non-negative ones
     split = F.transform("features", lambda f: F.struct((f["idx"] * 2 + (f["val"] > 0).cast("int")).cast("int").alias("idx"), F.abs(f["val"]).alias("val")))
-    t = trees.complete_tree(spark, K, 2)
-    i, o = train_embedding_tree(train.select("row_id", "labels", split.alias("features")), t, dims=8, epochs=3, shards=4)
-    return _quality(test, metrics.from_scores(predict_embedding_tree(test.select("row_id", split.alias("features")), t, i, o, 3)))
+    m = XT(spark, tree_type="completeKaryInOrder", dims=8, epochs=3, eta=0.5, shards=4)
+    return _quality(test, m.fit(train.withColumn("features", split), train).predict(test.withColumn("features", split), top_k=3))
+
+
+def _points(spark, d):
+    p = write_stage(points(spark, d), "points")
+    held = F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0
+    return p.filter(~held), p.filter(held)
+
+
+def plt_points_train(spark, d):
+    """A tree over all labels of the sparse multi-label records."""
+    train, test = _points(spark, d)
+    return _quality(test, PLT(spark, arity=16, solver="L2R_L2LOSS_SVC").fit(train, train).predict(test, top_k=3))
+
+
+def br_points_train(spark, d):
+    """One problem for each of them, blocks of labels taking the rows together."""
+    train, test = _points(spark, d)
+    return _quality(test, BR(spark, optimizer="adagrad").fit(train, train).predict(test, top_k=3))
 
 
 def _probs(spark, d):
@@ -76,10 +89,6 @@ def _probs(spark, d):
     return write_stage(test.select("row_id", "labels").join(p, "row_id", "left"), "probs")
 
 
-def ofo_micro(spark, d):
-    return spark.createDataFrame([(ofo.micro_ofo(_probs(spark, d)),)], "threshold double")
-
-
 def ofo_macro(spark, d):
     t = ofo.macro_ofo(_probs(spark, d))
     return spark.createDataFrame(sorted(t.items()), "label int, threshold double")
@@ -93,8 +102,6 @@ def stream_precision(spark, d):
     """Chunked test: predictions arrive as a stream, metric sums are kept by the engine."""
     from ..plans.stages import stage_path
     from ..streaming.metrics import precision_stream, read_result
-    from .reference import points
-
     path = stage_path(spark, "stream")
     ranking(spark, d).repartition(4).write.parquet(path)
     truth = write_stage(points(spark, d).select("row_id", "labels"), "truth")
@@ -102,6 +109,18 @@ def stream_precision(spark, d):
     return read_result(precision_stream(stream, truth, 5, ["run_id"]))
 
 
+def stream_metrics(spark, d):
+    """Several metrics of one stream."""
+    from ..plans.stages import stage_path
+    from ..streaming.metrics import metric_stream, read_result
+
+    path = stage_path(spark, "stream")
+    ranking(spark, d).repartition(3).write.parquet(path)
+    truth = write_stage(points(spark, d).select("row_id", "labels"), "truth")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return read_result(metric_stream(stream, truth, 5, ("dcg", "ndcg", "abandonment"), ["run_id"]))
+
+
 _TRAINED = {
     "plt_kmeans_train": lambda s: PLT(s, max_leaves=4),
     "plt_huffman_adagrad_train": lambda s: PLT(s, tree_type="huffman", optimizer="adagrad", epochs=2),
@@ -113,7 +132,7 @@ _TRAINED = {
     "ovr_train": lambda s: OVR(s),
     "mach_train": lambda s: MACH(s, hashes=4, buckets=6),
 }
-_ALL = [*[_named(n, _fit(m)) for n, m in _TRAINED.items()], online_plt, extreme_text, ofo_micro, ofo_macro, ofo_mixed, stream_precision]
+_ALL = [*[_named(n, _fit(m)) for n, m in _TRAINED.items()], online_plt, extreme_text, plt_points_train, br_points_train, ofo_macro, ofo_mixed, stream_precision, stream_metrics]
 
 
 def queries():
@@ -123,4 +142,6 @@ def queries():
 def oracle_sql():
     from .reference import oracle_sql as sql
 
-    return {"stream_precision": sql()["precision_at_k"]}
+    q = sql()
+    join = " join ".join(f"({q[m]}) {a}" + (" using (run_id, k)" if a != "x" else "") for m, a in (("dcg_at_k", "x"), ("ndcg_at_k", "y"), ("abandonment_at_k", "z")))
+    return {"stream_precision": q["precision_at_k"], "stream_metrics": f"select run_id, k, dcg, ndcg, abandonment from {join}"}

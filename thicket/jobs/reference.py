@@ -168,7 +168,7 @@ def _metric(f, name, inv=False, source=ranking, **kw):
 
 def cli_metrics(spark, d):
     m = mx.cli_metrics(points(spark, d).select("row_id", "labels"), predicted(spark, d), 3, by=["run_id"])
-    return m.select("run_id", "metric", _r(F.col("value"), "value"))
+    return m.select("run_id", "metric", _r(F.col("value"), "value"), _r(F.col("std"), "std"))
 
 
 # trees --------------------------------------------------------------------------------------
@@ -181,31 +181,10 @@ def tree_balanced(spark, d):
     return t.filter("label <> -1").select("label", "depth")
 
 
-def tree_huffman_cost(spark, d):
-    """Expected depth of the leaves under their priors."""
-    pri = labels.labels_priors(vectors(spark, d))
-    t = trees.node_depths(trees.huffman_tree(spark, pri)).filter("label <> -1")
-    return t.join(pri, "label").agg(_r(F.sum(F.col("prior") * (F.col("depth") - 1)), "cost"))
-
-
-def tree_flatten(spark, d):
-    t = trees.node_depths(trees.flatten_tree(trees.complete_tree(spark, 64, 2), 2))
-    return t.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("label") != -1).cast("long")).alias("leaves"))
-
-
 def tree_stats(spark, d):
     return trees.tree_stats(trees.complete_tree(spark, 1000, 4))
 
 
-def tree_kmeans(spark, d):
-    return trees.kmeans_tree(spark, labels.label_feature_matrix(vectors(spark, d)), 2, 2)
-
-
-def tree_online(spark, d):
-    seen = files.first_seen_ids(vectors(spark, d).select(F.lit(0).alias("file_no"), "row_id", "labels"))
-    return trees.online_tree(spark, seen, 2)
-
-
 def ancestor_closure(spark, d):
     return trees.ancestor_closure(trees.complete_tree(spark, 500, 3))
 
@@ -272,10 +251,6 @@ def plt_full_scoring(spark, d):
     return _scores(predict.top_k(predict.plt_scores(_rows(spark, d), t, m, w), 3))
 
 
-def plt_beam(spark, d):
-    return _scores(predict.plt_beam(_rows(spark, d), *_tree_model(spark, d), k=3, width=100))
-
-
 def plt_threshold(spark, d):
     return _scores(predict.plt_predict(_rows(spark, d), *_tree_model(spark, d), k=0, threshold=0.05))
 
@@ -340,9 +315,9 @@ _METRICS = [
 _ALL = [
     label_counts, label_priors, inv_label_priors, jain_inv_propensity, jain_propensity, label_feature_matrix, label_feature_mean, dataset_stats, remap_labels, split_train_valid,
     feature_norm, feature_hash_fnv, feature_threshold, feature_bias, feature_dense, pairwise_dot, libsvm_lines, loss_values, *_METRICS, cli_metrics,
-    tree_complete, tree_balanced, tree_huffman_cost, tree_flatten, tree_stats, tree_kmeans, tree_online, ancestor_closure,
+    tree_complete, tree_balanced, tree_stats, ancestor_closure,
     nodes_to_update, nodes_updates, hsm_assignment, ovr_pick_one_weights, mach_assignment,
-    nearest_centroid_precision, ovr_softmax_topk, br_topk, br_threshold, plt_exact_topk, plt_full_scoring, plt_beam, plt_threshold, plt_label_thresholds, plt_weighted_topk, node_bounds,
+    nearest_centroid_precision, ovr_softmax_topk, br_topk, br_threshold, plt_exact_topk, plt_full_scoring, plt_threshold, plt_label_thresholds, plt_weighted_topk, node_bounds,
     predict_for_label, hsm_topk, mach_topk, ensemble_mean, ensemble_filled,
 ]
 
@@ -364,12 +339,13 @@ nt as (select r.row_id, count(y.label) t from r left join y using (row_id) group
 a as (select b.run_id, b.row_id, k, t, coalesce(sum(hit::int) filter (pos <= k), 0) hits, coalesce(sum(1 / log2(pos + 1)) filter (pos <= k and hit), 0) dcg,
   (select sum(1 / log2(i + 1)) from range(1, 6) g(i) where i <= least(k, greatest(t, 1))) ideal
   from b join nt using (row_id) cross join ks join h on h.run_id = b.run_id and h.row_id = b.row_id group by b.run_id, b.row_id, k, t)"""
+_S = _Q.replace(" where pos <= 5", "")
 _PS = f"""{_Q}, q as (select label, 1 + (ln(n::double) - 1) * pow(2.5, 0.55) * pow(cnt + 1.5, -0.55) q from c, n),
 tq as (select row_id, q, row_number() over (partition by row_id order by q desc) pos from y join q using (label)),
 pa as (select a.run_id, a.row_id, k, any_value(t) t, any_value(ideal) ideal, coalesce(sum(q.q) filter (pos <= k and hit), 0) g, coalesce(sum(q.q / log2(pos + 1)) filter (pos <= k and hit), 0) gd
   from a join h using (run_id, row_id) left join q using (label) group by 1, 2, 3),
 pb as (select row_id, k, coalesce(sum(q) filter (pos <= k), 0) g0, coalesce(sum(q / log2(pos + 1)) filter (pos <= k), 0) gd0 from r left join tq using (row_id) cross join ks group by 1, 2)"""
-_CONF = f"""{_Q}, cut as (select 5 k), conf as (select run_id, label, sum(tp) tp, sum(fp) fp, sum(fn) fn from (
+_CONF = f"""{_S}, conf as (select run_id, label, sum(tp) tp, sum(fp) fp, sum(fn) fn from (
   select run_id, label, hit::int tp, (not hit)::int fp, 0 fn from h
   union all select b.run_id, y.label, 0, 0, 1 from b join y using (row_id) where not exists (select 1 from h where h.run_id = b.run_id and h.row_id = b.row_id and h.label = y.label)) group by 1, 2)"""
 _CONFK = f"""{_Q}, conf as (select run_id, k, label, sum(tp) tp, sum(fp) fp, sum(fn) fn from (
@@ -471,16 +447,15 @@ def oracle_sql():
         "psdcg_at_k": ps("gd / k", "gd0 / k", "psdcg"),
         "psndcg_at_k": ps("case when t = 0 then 0 else gd / ideal end", "case when t = 0 then 0 else gd0 / ideal end", "psndcg"),
         "coverage_at_k": f"with {_Q}, seen as (select run_id, count(distinct label) s from b join y using (row_id) group by 1) select s.run_id, k::int k, round(count(distinct label) filter (hit and pos <= k) / any_value(s.s), 6) coverage from seen s cross join ks left join h on h.run_id = s.run_id group by 1, 2",
-        "hamming_loss": f"with {_Q} select run_id, round(avg(np + t - 2 * tp), 6) hamming_loss from b join nt using (row_id) group by 1",
-        "micro_f1": f"with {_Q} select run_id, round(2 * sum(tp) / sum(np + t), 6) micro_f1 from b join nt using (row_id) group by 1",
-        "samples_f1": f"with {_Q} select run_id, round(avg(case when tp > 0 then 2 * (tp / np) * (tp / t) / (tp / np + tp / t) else 0 end), 6) samples_f1 from b join nt using (row_id) group by 1",
+        "hamming_loss": f"with {_S} select run_id, round(avg(np + t - 2 * tp), 6) hamming_loss from b join nt using (row_id) group by 1",
+        "micro_f1": f"with {_S} select run_id, round(2 * sum(tp) / sum(np + t), 6) micro_f1 from b join nt using (row_id) group by 1",
+        "samples_f1": f"with {_S} select run_id, round(avg(case when tp > 0 then 2 * (tp / np) * (tp / t) / (tp / np + tp / t) else 0 end), 6) samples_f1 from b join nt using (row_id) group by 1",
         "macro_f1": f"with {_CONF} select run_id, {macro('(2 * tp)', '2 * tp + fp + fn', 'macro_f1')} from conf group by 1",
         "macro_pr_at_k": f"with {_CONFK} select run_id, k::int k, {macro('tp', 'tp + fp', 'macro_precision')}, {macro('tp', 'tp + fn', 'macro_recall')}, {macro('(2 * tp)', '2 * tp + fp + fn', 'macro_f1')} from conf group by 1, 2",
         "tree_complete": f"{_complete_sql(5, 3)} union all {_complete_sql(5000, 7)}",
         "tree_balanced": """with recursive g(s, n, d) as (select 0, 1000, 1 union all
             select (s + j * (n // kids) + least(j, n % kids))::int, (n // kids + (j < n % kids)::int)::int, d + 1 from (select *, case when n > 10 then 3 else n end kids from g where n > 1), range(10) x(j) where j < kids)
             select s::int as label, d depth from g where n = 1""",
-        "tree_flatten": """with l as (select 127 n) select * from (values (1, 1, 0), (2, 2, 0), (3, 4, 0), (4, 8, 0), (5, 64, 64)) v(depth, nodes, leaves)""",
         "tree_stats": f"""with recursive t as ({_complete_sql(1000, 4)}), w(node_id, d) as (select node_id, 1 from t where parent_id = -1 union all select t.node_id, d + 1 from w join t on t.parent_id = w.node_id)
             select count(*) nodes, count(*) filter (label <> -1) leaves, count(*) filter (label = -1) internal, max(d) depth from t join w using (node_id)""",
         "ancestor_closure": f"""with recursive t as ({_complete_sql(500, 3)}), cl(node_id, ancestor_id, distance) as (select node_id, node_id, 0 from t union all select cl.node_id, t.parent_id, distance + 1 from cl join t on t.node_id = cl.ancestor_id where t.parent_id <> -1) select * from cl""",
@@ -501,7 +476,6 @@ def oracle_sql():
         "br_threshold": _flat("s as (select row_id, label, 1 / (1 + exp(-v)) score from v)", "select row_id, label, round(score, 6) score from s where score > 0.6"),
         "plt_exact_topk": _tree_sql(2, _topk(3)),
         "plt_full_scoring": _tree_sql(2, _topk(3)),
-        "plt_beam": _tree_sql(2, _topk(3)),
         "plt_threshold": _tree_sql(2, "select row_id, label, round(score, 6) score from s where score >= 0.05"),
         "plt_label_thresholds": _tree_sql(2, "select row_id, label, round(score, 6) score from s where score >= 0.02 + label * 0.01"),
         "plt_weighted_topk": _tree_sql(2, ", x as (select row_id, label, score * (1 + label * 0.1) score from s) " + _topk(3, "x")),
@@ -515,5 +489,5 @@ def oracle_sql():
     cli = {"p@3": "hits / 3", "r@3": "case when t > 0 then hits / t end", "dcg@3": "dcg", "ndcg@3": "case when t > 0 then dcg / ideal else 0 end", "tp@3": "hits", "tp": "tp", "fp": "np - tp", "fn": "t - tp",
            "p": "tp / np", "r": "case when t > 0 then tp / t end", "hl": "np + t - 2 * tp", "samplef1": "case when tp > 0 then 2 * (tp / np) * (tp / t) / (tp / np + tp / t) end", "s": "np"}
     acc = "select run_id, 'acc' metric, coalesce((p1.label = y1.label)::int, 0)::double v from b join (select run_id, row_id, label from p where pos = 1) p1 using (run_id, row_id) left join (select row_id, list_filter(x.l, lambda v: v is not null)[1] as label from r) y1 on y1.row_id = b.row_id"
-    out["cli_metrics"] = f"with {_Q}, ab as (select a.*, np, tp from a join b using (run_id, row_id) where k = 3) select run_id, metric, round(avg(v), 6) value from (" + " union all ".join(f"select run_id, '{m}' metric, ({v})::double v from ab" for m, v in cli.items()) + f" union all {acc}) where v is not null group by 1, 2"
+    out["cli_metrics"] = f"with {_S}, ab as (select a.*, np, tp from a join b using (run_id, row_id) where k = 3) select run_id, metric, round(avg(v), 6) \"value\", round(stddev_pop(v), 6) std from (" + " union all ".join(f"select run_id, '{m}' metric, ({v})::double v from ab" for m, v in cli.items()) + f" union all {acc}) where v is not null group by 1, 2"
     return out

@@ -12,6 +12,8 @@ of rows and nodes.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +34,17 @@ CONSTANT_LOGIT = 10.0
 SCORES = "row_id bigint, label int, score double"
 
 
+@contextmanager
+def limits(**sizes: int):
+    """Other values of SMALL_MODEL, BLOCK_WEIGHTS and CHUNK_CELLS for the plans made inside."""
+    before = {k: globals()[k] for k in sizes}
+    globals().update(sizes)
+    try:
+        yield
+    finally:
+        globals().update(before)
+
+
 def given_models(nodes: DataFrame) -> DataFrame:
     """Ordinary two-class entries for nodes whose weights are given."""
     return nodes.select("node_id", F.lit(2).alias("class_count"), F.lit(1).alias("first_class"))

@@ -78,24 +78,31 @@ def write_libsvm(data: DataFrame, path: str, sort: bool = False) -> None:
 
 
 def read_xy_sparse(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
-    """Features and labels from two files joined on the row number."""
+    """Features and labels from two files joined on the row number; a malformed token is an error that names its row."""
 
     def pairs(path, name):
         d = numbered_lines(spark, path)
-        d = d.filter(~((F.col("row_id") == 0) & is_header(F.col("line")))).withColumn("row_id", F.col("row_id"))
-        f = F.filter(F.split(F.trim("line"), " +"), lambda x: x != "")
-        return d.select("row_id", F.transform(f, lambda e: F.struct(F.substring_index(e, ":", 1).try_cast("int").alias("idx"), F.substring_index(e, ":", -1).try_cast("double").alias("val"))).alias(name))
+        d = d.filter(~((F.col("row_id") == 0) & is_header(F.col("line"))))
+        f = F.filter(F.split(F.rtrim("line", F.lit(" \r")), " +"), lambda x: x != "")
+        good = F.forall(f, lambda e: e.rlike(rf"\A{ID}:{NUMBER}\z"))
+        f = F.when(good, f).otherwise(F.raise_error(F.concat(F.lit(f"{path}: malformed row "), F.col("row_id").cast("string"))).cast("array<string>"))
+        return d.select("row_id", F.transform(f, lambda e: F.struct(F.substring_index(e, ":", 1).cast("int").alias("idx"), F.substring_index(e, ":", -1).cast("double").alias("val"))).alias(name))
 
     return pairs(x_path, "features").join(pairs(y_path, "_y"), "row_id").select("row_id", F.transform("_y", lambda e: e["idx"]).alias("labels"), "features")
 
 
-def read_json_lines(spark: SparkSession, path: str, features_fields: list[str], labels_field: str) -> DataFrame:
-    """``text, labels`` of JSON lines (plain or gzip); a missing field raises ValueError."""
-    d = spark.read.json(path)
-    missing = [f for f in [*features_fields, labels_field] if f not in d.columns]
+def read_json_lines(spark: SparkSession, path: str, features_fields: list[str], labels_field: str, label_type: str = "int") -> DataFrame:
+    """``text, labels`` of JSON lines (plain or gzip), in one scan with a given schema.
+
+    A field that the first line lacks raises ValueError; later lines may leave it null.
+    """
+    first = spark.read.text(path).limit(1).select(F.json_object_keys("value")).first()
+    missing = [f for f in [*features_fields, labels_field] if first and f not in (first[0] or [])]
     if missing:
         raise ValueError(f"fields not in the file: {missing}")
-    return d.select(F.concat_ws(" ", *[F.col(f).cast("string") for f in features_fields]).alias("text"), F.col(labels_field).alias("labels"))
+    schema = ", ".join([*[f"`{f}` string" for f in dict.fromkeys(features_fields)], f"`{labels_field}` array<{label_type}>"])
+    d = spark.read.schema(schema).json(path)
+    return d.select(F.concat_ws(" ", *[F.col(f"`{f}`") for f in features_fields]).alias("text"), F.col(f"`{labels_field}`").alias("labels"))
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:

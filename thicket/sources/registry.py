@@ -8,37 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .files import read_json_lines, read_libsvm, read_xy_sparse
 
-#: Key, printed name, feature forms and subsets of the public data sets.
-_SETS = """
-yeast|yeast|bow|train test
-mediamill|mediamill|bow|train test
-rcv1-2k|RCV1-2K|bow|train test
-eurlex-4k|EURLex-4K|bow|train test
-eurlex-4.3k|EURLex-4.3K|bow|train test validation
-amazoncat-13k|AmazonCat-13K|bow-v1 bow raw|train test
-amazoncat-14k|AmazonCat-14K|bow-v1 bow raw|train test
-wiki10-31k|Wiki10-31K|bow-v1 bow|train test
-deliciouslarge-200k|DeliciousLarge-200K|bow|train test
-wikilshtc-325k|WikiLSHTC-325K|bow|train test
-wikiseealsotitles-350k|WikiSeeAlsoTitles-350K|xy raw|train test
-wikititles-500k|WikiTitles-500K|xy raw|train test
-wikipedialarge-500k|WikipediaLarge-500K|bow raw|train test
-amazontitles-670k|AmazonTitles-670K|xy raw|train test
-amazon-670k|Amazon-670K|bow-v1 bow raw|train test
-amazontitles-3m|AmazonTitles-3M|xy raw|train test
-amazon-3m|Amazon-3M|bow-v1 bow raw|train test
-lf-amazontitles-131k|LF-AmazonTitles-131K|bow|train test
-lf-amazon-131k|LF-Amazon-131K|bow|train test
-lf-wikiseealsotitles-320k|LF-WikiSeeAlsoTitles-320K|bow|train test
-lf-wikiseealso-320k|LF-WikiSeeAlso-320K|bow|train test
-lf-wikititles-500k|LF-WikiTitles-500K|bow|train test
-lf-amazontitles-1.3m|LF-AmazonTitles-1.3M|bow|train test
-"""
-
-DATASETS = {}
-for _line in _SETS.strip().splitlines():
-    _key, _name, _forms, _subsets = _line.split("|")
-    DATASETS[_key] = {"name": _name, "formats": {("bow" if f == "xy" else f): {"xy": "XY_sparse", "raw": "jsonlines"}.get(f, "libsvm") for f in _forms.split()}, "subsets": _subsets.split()}
+#: Key, printed name, feature forms with their file formats, and subsets of the public data sets.
+DATASETS = {
+    "yeast": {"name": "yeast", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "mediamill": {"name": "mediamill", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "rcv1-2k": {"name": "RCV1-2K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "eurlex-4k": {"name": "EURLex-4K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "eurlex-4.3k": {"name": "EURLex-4.3K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test", "validation"]},
+    "amazoncat-13k": {"name": "AmazonCat-13K", "formats": {"bow-v1": "libsvm", "bow": "libsvm", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "amazoncat-14k": {"name": "AmazonCat-14K", "formats": {"bow-v1": "libsvm", "bow": "libsvm", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "wiki10-31k": {"name": "Wiki10-31K", "formats": {"bow-v1": "libsvm", "bow": "libsvm"}, "subsets": ["train", "test"]},
+    "deliciouslarge-200k": {"name": "DeliciousLarge-200K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "wikilshtc-325k": {"name": "WikiLSHTC-325K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "wikiseealsotitles-350k": {"name": "WikiSeeAlsoTitles-350K", "formats": {"bow": "XY_sparse", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "wikititles-500k": {"name": "WikiTitles-500K", "formats": {"bow": "XY_sparse", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "wikipedialarge-500k": {"name": "WikipediaLarge-500K", "formats": {"bow": "libsvm", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "amazontitles-670k": {"name": "AmazonTitles-670K", "formats": {"bow": "XY_sparse", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "amazon-670k": {"name": "Amazon-670K", "formats": {"bow-v1": "libsvm", "bow": "libsvm", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "amazontitles-3m": {"name": "AmazonTitles-3M", "formats": {"bow": "XY_sparse", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "amazon-3m": {"name": "Amazon-3M", "formats": {"bow-v1": "libsvm", "bow": "libsvm", "raw": "jsonlines"}, "subsets": ["train", "test"]},
+    "lf-amazontitles-131k": {"name": "LF-AmazonTitles-131K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "lf-amazon-131k": {"name": "LF-Amazon-131K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "lf-wikiseealsotitles-320k": {"name": "LF-WikiSeeAlsoTitles-320K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "lf-wikiseealso-320k": {"name": "LF-WikiSeeAlso-320K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "lf-wikititles-500k": {"name": "LF-WikiTitles-500K", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+    "lf-amazontitles-1.3m": {"name": "LF-AmazonTitles-1.3M", "formats": {"bow": "libsvm"}, "subsets": ["train", "test"]},
+}
 
 
 def dataset_meta(dataset: str, format: str = "bow") -> dict:
