@@ -8,8 +8,9 @@ from thicket.operators import metrics as mx
 from thicket.operators.extreme_text import predict_embedding_tree, train_embedding_tree
 from thicket.operators.train import TrainOptions, train_loss, train_problems
 from thicket.plans.stages import write_stage
+from thicket.operators.trees import check_tree
 from thicket.streaming import ofo
-from thicket.streaming.online_plt import OnlineOptions, OnlinePLT
+from thicket.streaming.online_plt import OnlineOptions, OnlinePLT, advance, fit_stream, last_state, state_tables
 
 RNG = np.random.default_rng(0)
 
@@ -120,7 +121,7 @@ def test_plt_searches_agree_and_reload(spark, tmp_path):
 def test_containers(spark):
     from types import SimpleNamespace
 
-    from thicket.sources.adapters import features_frame, labels_frame, to_csr
+    from thicket.sources.adapters import features_frame, labels_frame, to_csr, to_np_matrix
 
     dense = np.array([[0, 1.5], [2, 0]])
     want = [[(1, 1.5)], [(0, 2.0)]]
@@ -134,6 +135,9 @@ def test_containers(spark):
     with pytest.raises(ValueError):
         labels_frame(spark, np.zeros((1, 1, 1)))
     assert [r["indptr"] for r in to_csr(features_frame(spark, dense)).orderBy("row_id").collect()] == [0, 1]
+    assert (to_np_matrix(features_frame(spark, dense), 2) == dense).all()
+    with pytest.raises(ValueError):
+        to_np_matrix(features_frame(spark, dense), 2, most_cells=3)
 
 
 def test_big_problems_are_trained_by_the_distributed_solver(spark):
@@ -224,7 +228,7 @@ def test_ofo(spark):
     rows = spark.createDataFrame([(0, [1], [(1, 0.9), (2, 0.6)]), (1, [2], [(1, 0.2), (2, 0.4)]), (2, None, None)], "row_id long, labels array<int>, probs array<struct<label:int,score:double>>")
     # thresholds by hand: 10/20 -> both of row 0 predicted: 11/23; row 1: none, 11/24
     assert ofo.micro_ofo(rows) == pytest.approx(11 / 24)
-    m = ofo.macro_ofo(rows)
+    m = {r["label"]: r["threshold"] for r in ofo.macro_ofo(rows).collect()}
     assert m == pytest.approx({1: 11 / 22, 2: 10 / 22})
     pri = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.0)], "label int, prior double")
     mixed = {r["label"]: r["threshold"] for r in ofo.mixed_ofo(rows, pri, top=1).collect()}
@@ -238,25 +242,27 @@ def test_ofo(spark):
 def test_online_tree_learns_from_a_stream(spark, tmp_path, policy):
     x, y = blobs(spark, 300)
     d = spark.createDataFrame([(i, y[i], [(-1, 1.0)] + [(j, float(v)) for j, v in enumerate(r)]) for i, r in enumerate(x)], "row_id long, labels array<int>, features array<struct<idx:int,val:double>>")
-    src = str(tmp_path / "in")
+    src, ck, o = str(tmp_path / "in"), str(tmp_path / "ck"), OnlineOptions(policy=policy, max_leaves=2)
     d.repartitionByRange(3, "row_id").write.parquet(src)
-    m = OnlinePLT(OnlineOptions(policy=policy, max_leaves=2))
-    q = m.fit_stream(spark.readStream.schema(d.schema).parquet(src), str(tmp_path / "ck"))
-    q.awaitTermination()
-    from thicket.operators.trees import check_tree
-
-    m.fit_batch(d, 2)
-    tree, models, weights = m.tables(spark)
+    fit_stream(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(src), ck, o).awaitTermination()
+    batch, state = last_state(spark, ck)
+    assert batch == 1 and last_state(spark, str(tmp_path / "none")) == (-1, None)
+    halves = OnlinePLT.of_state(advance(d.filter("row_id >= 150"), o, advance(d.filter("row_id < 150"), o)))
+    plain = OnlinePLT(o).fit_batch(d)  # the same rows through one iterator on the driver
+    assert halves.parent == plain.parent and [m.w for m in halves.base] == [m.w for m in plain.base]
+    more = advance(d, o, state, 2)
+    tree, models, weights = state_tables(more)
     check_tree(tree)
-    assert {lab for lab in m.label if lab >= 0} == set(range(6))
+    assert {r["label"] for r in tree.collect() if r["label"] >= 0} == set(range(6))
     pred = mx.from_scores(predict.tree_search(d.select("row_id", "features"), tree, models, weights, 3))
     assert p_at_1(spark, y, pred) > 0.6
-    m.save(spark, str(tmp_path / "m"))
-    again = OnlinePLT.load(spark, str(tmp_path / "m"))
-    assert OnlinePLT.resume(spark, str(tmp_path / "ck")).parent and OnlinePLT._last(spark, str(tmp_path / "none")) == -1
-    assert again.parent == m.parent and again.base[1].w == m.base[1].w
+    again = OnlinePLT.of_state(more).fit_batch(d.limit(0))
+    assert sorted(map(tuple, again.state(spark).select("node_id", "line").collect())) == sorted(map(tuple, more.select("node_id", "line").collect()))
+    whole = OnlinePLT.of_state(advance(d, o, None, 2))
+    assert whole.parent == OnlinePLT(o).fit_batch(d, 2).parent and whole.base[2].w == OnlinePLT(o).fit_batch(d, 2).base[2].w
+    assert advance(d.limit(0), o).filter("node_id >= 0").count() == 0
     warm = OnlinePLT.warm_start(tree, weights).fit_batch(d.limit(20))
-    assert warm.parent == m.parent
+    assert warm.parent == again.parent
     with pytest.raises(ValueError):
         OnlineOptions(policy="other")
 

@@ -35,6 +35,22 @@ def test_running_sums(spark):
     assert got == want
 
 
+def test_stages_are_dropped(spark):
+    from thicket.plans import stages
+
+    root = stages.stage_root(spark)
+    a, b = stages.write_stage(spark.range(3)), stages.write_stage(spark.range(4))
+    assert b.count() == 4 and len(stages.list_path(spark, root)) >= 2
+    stages.drop_stage(a)
+    assert not stages.path_exists(spark, a._thicket_stage) and stages.path_exists(spark, b._thicket_stage)
+    before = dict(stages._ROOTS)
+    stages._ROOTS[spark.sparkContext.applicationId] = root + "-other"
+    c = stages.write_stage(spark.range(2))
+    stages.drop_stages(spark)
+    assert not stages.path_exists(spark, c._thicket_stage) and spark.sparkContext.applicationId not in stages._ROOTS
+    stages._ROOTS.update(before)
+
+
 def test_pointers_and_components(spark):
     ptr = spark.createDataFrame([(i, max(i - 1, 0)) for i in range(100)] + [(200, 200)], "node long, to long")
     assert {r["node"]: r["end"] for r in resolve_pointers(ptr).collect()} == {**{i: 0 for i in range(100)}, 200: 200}

@@ -107,4 +107,11 @@ def test_command_line(spark, tmp_path):
     cli.main(["predict", "-i", path, "-o", out, "--topK", "2"], spark)
     cli.main(["ofo", "-i", path, "-o", out, "--ofoType", "mixed"], spark)
     assert files.read_vector(spark, out + "/thresholds").count() == 3
+    assert 0 <= cli.main(["test", "-i", path, "-o", out, "--metrics", "hl", "--thresholds", out + "/thresholds", "--topK", "0"], spark)["hl"] <= 1
+    for extra in (["-m", "oplt", "--onlineTreeAlpha", "0.7", "--threads", "4"], ["-m", "oplt", "--resume", "1"], ["-m", "extremeText", "--dims", "8", "--epochs", "5", "--eta", "0.5"]):
+        own = out + extra[1]
+        cli.main(["train", "-i", path, "-o", own, *extra], spark)
+        assert cli.main(["test", "-i", path, "-o", own, "--metrics", "p@1"], spark)["p@1"] > 0.6
+    with pytest.raises(SystemExit):
+        cli.main(["train", "-i", path, "-o", out, "--resume", "1"], spark)
     assert cli.main(["version"])["version"]

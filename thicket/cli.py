@@ -119,8 +119,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if a.ofoType == "micro":
         table = priors.select("label", F.lit(micro_ofo(rows, a.ofoA, a.ofoB, a.epochs)).alias("value"))
     elif a.ofoType == "macro":
-        t = macro_ofo(rows, a.ofoA, a.ofoB, a.epochs)
-        table = priors.join(spark.createDataFrame(list(t.items()), "label int, v double"), "label", "left").select("label", F.coalesce("v", F.lit(a.ofoA / a.ofoB)).alias("value"))
+        table = priors.join(macro_ofo(rows, a.ofoA, a.ofoB, a.epochs), "label", "left").select("label", F.coalesce("threshold", F.lit(a.ofoA / a.ofoB)).alias("value"))
     else:
         table = mixed_ofo(rows, priors, a.ofoTopLabels, a.ofoA, a.ofoB, a.epochs).select("label", F.col("threshold").alias("value"))
     write_vector(table, f"{a.output}/thresholds")

@@ -14,7 +14,7 @@ from ..models import BR, HSM, MACH, OVR, PLT, XT
 from ..operators import labels, metrics, predict
 from ..plans.stages import write_stage
 from ..streaming import ofo
-from ..streaming.online_plt import OnlineOptions, OnlinePLT
+from ..streaming.online_plt import OnlineOptions, fit_stream, last_state, state_tables
 from .reference import points, ranking, vectors
 
 
@@ -50,9 +50,9 @@ def online_plt(spark, d):
     rows = train.select("row_id", "labels", fx.prepare(F.col("features")).alias("features"))
     path = stage_path(spark, "stream")
     rows.repartitionByRange(4, "row_id").write.parquet(path)
-    m = OnlinePLT(OnlineOptions(max_leaves=4))
-    m.fit_stream(spark.readStream.schema(rows.schema).parquet(path), stage_path(spark, "state")).awaitTermination()
-    pred = predict.tree_search(test.select("row_id", fx.prepare(F.col("features")).alias("features")), *m.tables(spark), 3)
+    state = stage_path(spark, "state")
+    fit_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path), state, OnlineOptions(max_leaves=4)).awaitTermination()
+    pred = predict.tree_search(test.select("row_id", fx.prepare(F.col("features")).alias("features")), *state_tables(last_state(spark, state)[1]), 3)
     return _quality(test, metrics.from_scores(pred))
 
 
@@ -90,8 +90,7 @@ def _probs(spark, d):
 
 
 def ofo_macro(spark, d):
-    t = ofo.macro_ofo(_probs(spark, d))
-    return spark.createDataFrame(sorted(t.items()), "label int, threshold double")
+    return ofo.macro_ofo(_probs(spark, d))
 
 
 def ofo_mixed(spark, d):

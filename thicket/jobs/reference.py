@@ -30,6 +30,13 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return newest.select("row_id", F.coalesce("r.labels", F.array().cast("array<int>")).alias("labels"), fx.combine(F.col("r.features")).alias("features"))
 
 
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    """``row_id, labels`` of the points, written once for the metrics that read them several times."""
+    p = spark.read.parquet(f"{d}/data_points.parquet").filter("row_id is not null")
+    newest = p.groupBy("row_id").agg(F.max(F.struct("loaded_at", "labels")).alias("r"))
+    return write_stage(newest.select("row_id", F.coalesce("r.labels", F.array().cast("array<int>")).alias("labels")), "truth")
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     return e.select(F.col("vec_id").alias("row_id"), F.array("label").alias("labels"), fx.dense_to_sparse(F.col("embedding")).alias("features"))
@@ -157,8 +164,8 @@ def loss_values(spark, d):
 # metrics ------------------------------------------------------------------------------------
 def _metric(f, name, inv=False, source=ranking, **kw):
     def q(spark, d):
-        truth, pred = points(spark, d).select("row_id", "labels"), source(spark, d)
-        args = (truth, pred, labels.jain_inverse_propensity(truth, dense=False)) if inv else (truth, pred)
+        true, pred = truth(spark, d), source(spark, d)
+        args = (true, pred, labels.jain_inverse_propensity(true, dense=False)) if inv else (true, pred)
         out = f(*args, by=["run_id"], **kw)
         return out.select(*[_r(F.col(c), c) if c not in ("run_id", "k") else F.col(c) for c in out.columns])
 
@@ -167,10 +174,21 @@ def _metric(f, name, inv=False, source=ranking, **kw):
 
 
 def cli_metrics(spark, d):
-    m = mx.cli_metrics(points(spark, d).select("row_id", "labels"), predicted(spark, d), 3, by=["run_id"])
+    m = mx.cli_metrics(truth(spark, d), predicted(spark, d), 3, by=["run_id"])
     return m.select("run_id", "metric", _r(F.col("value"), "value"), _r(F.col("std"), "std"))
 
 
+def cli_set_metrics(spark, d):
+    """The command line's metrics of whole label sets and the coverage of the first five."""
+    true, pred = truth(spark, d), predicted(spark, d)
+    parts = [
+        mx.micro_f1(true, pred, ["run_id"]).select("run_id", F.lit("microf1").alias("metric"), F.col("micro_f1").alias("value")),
+        mx.macro_f1(true, pred, 1.0, ["run_id"]).select("run_id", F.lit("macrof1").alias("metric"), F.col("macro_f1").alias("value")),
+        mx.coverage_at_k(true, ranking(spark, d), 5, ["run_id"]).filter("k = 5").select("run_id", F.lit("c@5").alias("metric"), F.col("coverage").alias("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("run_id", "metric", _r(F.col("value"), "value"))
+
+
 # trees --------------------------------------------------------------------------------------
 def tree_complete(spark, d):
     return trees.complete_tree(spark, 5, 3).withColumn("arity", F.lit(3)).unionByName(trees.complete_tree(spark, 5000, 7).withColumn("arity", F.lit(7)))
@@ -202,6 +220,12 @@ def hsm_assignment(spark, d):
     return assign.hsm_assignment(vectors(spark, d), trees.complete_tree(spark, K, 3)).groupBy("node_id", "y").agg(F.count(F.lit(1)).alias("rows"), _r(F.sum("weight"), "weight"))
 
 
+def br_assignment(spark, d):
+    """Positives of the labels that at least three rows have."""
+    p = write_stage(points(spark, d).select("row_id", "labels"), "points")
+    return assign.br_assignment(p, labels.count_labels(p, dense=False).filter("cnt >= 3"))
+
+
 def ovr_pick_one_weights(spark, d):
     return assign.ovr_assignment(points(spark, d)).select("row_id", "label", _r(F.col("weight"), "weight"))
 
@@ -314,9 +338,9 @@ _METRICS = [
 ]
 _ALL = [
     label_counts, label_priors, inv_label_priors, jain_inv_propensity, jain_propensity, label_feature_matrix, label_feature_mean, dataset_stats, remap_labels, split_train_valid,
-    feature_norm, feature_hash_fnv, feature_threshold, feature_bias, feature_dense, pairwise_dot, libsvm_lines, loss_values, *_METRICS, cli_metrics,
+    feature_norm, feature_hash_fnv, feature_threshold, feature_bias, feature_dense, pairwise_dot, libsvm_lines, loss_values, *_METRICS, cli_metrics, cli_set_metrics,
     tree_complete, tree_balanced, tree_stats, ancestor_closure,
-    nodes_to_update, nodes_updates, hsm_assignment, ovr_pick_one_weights, mach_assignment,
+    nodes_to_update, nodes_updates, hsm_assignment, br_assignment, ovr_pick_one_weights, mach_assignment,
     nearest_centroid_precision, ovr_softmax_topk, br_topk, br_threshold, plt_exact_topk, plt_full_scoring, plt_threshold, plt_label_thresholds, plt_weighted_topk, node_bounds,
     predict_for_label, hsm_topk, mach_topk, ensemble_mean, ensemble_filled,
 ]
@@ -468,6 +492,7 @@ def oracle_sql():
             pa as (select vec_id row_id, ancestor_id node_id from embeddings join t using (label) join cl using (node_id)),
             u as (select row_id, node_id, 1 y from pa where node_id = 0 union all select pa.row_id, s.node_id, (s.node_id = pa.node_id)::int from pa join cp using (node_id) join cp s on s.parent_id = cp.parent_id where s.nc <> 2 or s.cpos = 0)
             select node_id, y, count(*) as rows, count(*)::double weight from u group by 1, 2"""),
+        "br_assignment": f"with {_P} select label::int node_id, row_id from y where label in (select label from c where cnt >= 3)",
         "ovr_pick_one_weights": f"with {_P} select row_id, label, round(1.0 / count(*) over (partition by row_id), 6) weight from y",
         "mach_assignment": f"with {_P} select distinct row_id, hash_no, bucket, 1 y from (" + " union all ".join(f"select row_id, {i} hash_no, ({a}::bigint * label % {m} % 50)::int bucket from y" for i, (a, m) in enumerate(_FAMILY)) + ")",
         "nearest_centroid_precision": _flat("k as (select row_id, label, row_number() over (partition by row_id order by v desc, label) pos from v)", "select i::int k, round(avg(h / i), 6) \"precision\" from (select i, vec_id, count(*) filter (k.label = m.label and pos <= i) h from embeddings m join k on k.row_id = vec_id cross join range(1, 6) g(i) group by 1, 2) group by 1"),
@@ -486,6 +511,9 @@ def oracle_sql():
         "ensemble_mean": f"{both}, k3 as (select *, row_number() over (partition by row_id order by score desc, label) rn from s3), x as (select s.row_id, s.label, (s.score + coalesce(k3.score, 0)) / 2 score from s left join k3 on k3.row_id = s.row_id and k3.label = s.label and rn <= 3) {_topk(3, 'x')}",
         "ensemble_filled": f"{both}, x as (select row_id, label, (s.score + s3.score) / 2 score from s join s3 using (row_id, label)) {_topk(3, 'x')}",
     }
+    macro1 = f"with {_CONF} select run_id, 'macrof1' metric, (sum(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 1 end) + max(label) + 1 - count(*)) / (max(label) + 1) v from conf group by 1"
+    micro = f"with {_S} select run_id, 'microf1' metric, 2 * sum(tp) / sum(np + t) v from b join nt using (row_id) group by 1"
+    out["cli_set_metrics"] = f"""select run_id, metric, round(v, 6) "value" from (select * from ({micro}) union all select * from ({macro1}) union all select run_id, 'c@5', coverage from ({out['coverage_at_k']}) where k = 5)"""
     cli = {"p@3": "hits / 3", "r@3": "case when t > 0 then hits / t end", "dcg@3": "dcg", "ndcg@3": "case when t > 0 then dcg / ideal else 0 end", "tp@3": "hits", "tp": "tp", "fp": "np - tp", "fn": "t - tp",
            "p": "tp / np", "r": "case when t > 0 then tp / t end", "hl": "np + t - 2 * tp", "samplef1": "case when tp > 0 then 2 * (tp / np) * (tp / t) / (tp / np + tp / t) end", "s": "np"}
     acc = "select run_id, 'acc' metric, coalesce((p1.label = y1.label)::int, 0)::double v from b join (select run_id, row_id, label from p where pos = 1) p1 using (run_id, row_id) left join (select row_id, list_filter(x.l, lambda v: v is not null)[1] as label from r) y1 on y1.row_id = b.row_id"

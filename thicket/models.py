@@ -263,9 +263,18 @@ class BR(Model):
         number, own = _split_threshold(threshold)
         return predict.br_predict(rows, member[1], member[2], k, number, own, terms[0], self.options.loss, terms[1])
 
+    def _score_pairs(self, rows, member, pairs, terms):
+        if predict.is_small(member[1], member[2]):  # scored in place, by the arithmetic of the members' own labels
+            return super()._score_pairs(rows, member, pairs, terms)
+        cand = pairs.select("row_id", F.col("label").alias("node_id"))
+        v = predict.candidate_values(cand, predict.exploded(rows), member[1], member[2])
+        s = v.select("row_id", F.col("node_id").alias("label"), predict.probability(F.col("value"), self.options.loss).alias("score"))
+        return predict.apply_label_terms(s, *terms)
+
 
 class OVR(BR):
     kind = "ovr"
+    _score_pairs = Model._score_pairs  # a softmax needs all labels
 
     def _check_extra(self):
         if set(self.extra) - {"pick_one_label_weighting"}:
@@ -345,28 +354,30 @@ class OPLT(_TreeModel):
         return OnlineOptions(a["arity"], a["max_leaves"], self.extra.get("online_tree_alpha", 0.5), a["kind"], o.optimizer, o.loss, o.eta, o.adagrad_eps, seed)
 
     def fit(self, x, y, inv_ps=None, resume: bool = False) -> Model:
-        from .streaming.online_plt import OnlinePLT
+        from .streaming.online_plt import OnlinePLT, advance, state_tables
 
         data = write_stage(labels_frame(self.spark, y).join(self._rows(x), "row_id"), "train")
-        if not resume or not self.online:
-            self.online = [OnlinePLT(self._options(self.options.seed + i)) for i in range(max(1, self.ensemble))]
-            if self.given is not None:
-                self.online = [OnlinePLT.warm_start(self.given, self.spark.createDataFrame([], "node_id int, idx int, w double"), m.o) for m in self.online]
-        self.members = [m.fit_batch(data, self.options.epochs).tables(self.spark) for m in self.online]
+        before = self.online if resume and self.online else [None] * max(1, self.ensemble)
+        own = [self._options(self.options.seed + i) for i in range(len(before))]
+        if self.given is not None and before[0] is None:
+            none = self.spark.createDataFrame([], "node_id int, idx int, w double")
+            before = [OnlinePLT.warm_start(self.given, none, o).state(self.spark) for o in own]
+        self.online = [advance(data, o, s, self.options.epochs) for o, s in zip(own, before)]
+        self.members = [state_tables(s) for s in self.online]
         self.tree = self.members[0][0]
         drop_stage(data)
         return self
 
     def save(self, path: str) -> None:
         super().save(path)
-        for i, m in enumerate(self.online):
-            m.save(self.spark, f"{path}/member_{i}/state")
+        for i, s in enumerate(self.online):
+            s.write.mode("overwrite").parquet(f"{path}/member_{i}/state")
 
     @staticmethod
     def load_state(model: OPLT, path: str) -> OPLT:
-        from .streaming.online_plt import OnlinePLT
+        from .streaming.online_plt import STATE
 
-        model.online = [OnlinePLT.load(model.spark, f"{path}/member_{i}/state") for i in range(len(model.members))]
+        model.online = [model.spark.read.schema(STATE).parquet(f"{path}/member_{i}/state") for i in range(len(model.members))]
         return model
 
     _predict_member, _score_pairs, evaluated = PLT._predict_member, PLT._score_pairs, PLT.evaluated

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 import warnings
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
@@ -32,23 +33,26 @@ def stage_root(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             named = "file://" + local
         _ROOTS[key] = f"{named.rstrip('/')}/thicket-{key}"
-        atexit.register(_at_exit, spark, key)
+        atexit.register(_at_exit, key)
     return _ROOTS[key]
 
 
-def _at_exit(spark: SparkSession, key: str) -> None:
-    if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == key:
-        drop_stages(spark)
+def _at_exit(key: str) -> None:
+    """Remove the folder at the program's end, after the session has stopped as well: the JVM is still there."""
+    root, jvm = _ROOTS.pop(key, None), SparkContext._jvm
+    if root and jvm is not None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(root)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may have ended before us
+            pass
 
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete all stages of this application; results that still read them are void."""
     root = _ROOTS.pop(spark.sparkContext.applicationId, None)
     if root:
-        try:
-            delete_path(spark, root)
-        except Exception:  # noqa: BLE001  the engine may have ended before us
-            pass
+        delete_path(spark, root)
 
 
 def stage_path(spark: SparkSession, name: str = "stage") -> str:

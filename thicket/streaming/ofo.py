@@ -1,63 +1,89 @@
 """Online F-measure optimisation of decision thresholds.
 
 The exact form is a fold over rows in order, because each row is cut with the
-thresholds that the rows before it have made.  A fold reads ``row_id, labels,
-probs`` (all label probabilities) partition by partition through one iterator, so
-memory holds one partition and the counters.  ``macro_ofo_blocks`` is the parallel
+thresholds that the rows before it have made.  A fold streams ``row_id, labels,
+probs`` (all label probabilities) in sorted order through one task, whose memory
+holds one batch and the counters.  ``macro_ofo_blocks`` is the parallel
 form: counters per label are updated by one aggregate per block of rows, with
 thresholds fixed inside a block (an approximation that shrinks with the block).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stages import write_stage
 
 
-def _fold(rows: DataFrame) -> Iterator:
-    ordered = rows.select("row_id", "labels", "probs").orderBy("row_id")
-    for r in ordered.toLocalIterator(prefetchPartitions=True):
-        yield set(r["labels"] or []), {p["label"]: p["score"] for p in (r["probs"] or [])}
+def _fold(rows: DataFrame, epochs: int, kernel, schema: str) -> DataFrame:
+    """Run ``kernel`` over all rows in order of (epoch, row_id): the engine sorts, one task streams."""
+    d = rows.select("row_id", F.coalesce("labels", F.array().cast("array<int>")).alias("y"), F.col("probs.label").alias("x"), F.col("probs.score").alias("p"))
+    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions("epoch", "row_id")
+    return d.select("y", "x", "p").mapInArrow(kernel, schema)
+
+
+def _rows(batches):
+    """``(distinct true labels, predicted labels, probabilities)`` of each row as arrays."""
+    import numpy as np
+
+    for b in batches:
+        cols = [b.column(i) for i in range(3)]
+        ends = [np.r_[0, np.cumsum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))] for c in cols]
+        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in cols]
+        for r in range(b.num_rows):
+            y, x, p = (f[e[r] : e[r + 1]] for f, e in zip(flat, ends))
+            yield np.unique(y), x, p
 
 
 def micro_ofo(rows: DataFrame, a: float = 10.0, b: float = 20.0, epochs: int = 1) -> float:
     """One threshold a / b: hits raise a; predictions and true labels raise b."""
-    for _ in range(epochs):
-        for truth, probs in _fold(rows):
-            t = a / b
-            pred = [x for x, p in probs.items() if p >= t]
-            a += sum(x in truth for x in pred)
-            b += len(pred) + len(truth)
-    return a / b
-
-
-def macro_ofo(rows: DataFrame, a: float = 10.0, b: float = 20.0, epochs: int = 1) -> dict[int, float]:
-    """A threshold for each label; labels never met keep a / b and are not listed."""
-    num: dict[int, float] = {}
-    den: dict[int, float] = {}
-    for _ in range(epochs):
-        for truth, probs in _fold(rows):
-            pred = [x for x, p in probs.items() if p >= num.get(x, a) / den.get(x, b)]
-            for x in pred:
-                den[x] = den.get(x, b) + 1
-                if x in truth:
-                    num[x] = num.get(x, a) + 1
-            for x in truth:
-                den[x] = den.get(x, b) + 1
-    return {x: num.get(x, a) / d for x, d in den.items()}
+
+    def fold(batches):
+        import numpy as np
+
+        hits, both = a, b
+        for y, x, p in _rows(batches):
+            said = x[p >= hits / both]
+            hits += int(np.isin(said, y).sum())
+            both += len(said) + len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([hits / both])], names=["threshold"])
+
+    return _fold(rows, epochs, fold, "threshold double").first()[0]
+
+
+def macro_ofo(rows: DataFrame, a: float = 10.0, b: float = 20.0, epochs: int = 1) -> DataFrame:
+    """``label, threshold`` of each label met; the others keep a / b and have no line."""
+
+    def fold(batches):
+        import numpy as np
+
+        slot: dict[int, int] = {}
+        num, den, met = np.full(1024, a), np.full(1024, b), np.zeros(1024, bool)
+        for y, x, p in _rows(batches):
+            jy, jx = (np.array([slot.setdefault(v, len(slot)) for v in z.tolist()], np.int64) for z in (y, x))
+            if len(slot) > len(num):
+                more = 2 * len(slot) - len(num)
+                num, den, met = np.r_[num, np.full(more, a)], np.r_[den, np.full(more, b)], np.r_[met, np.zeros(more, bool)]
+            said = jx[p >= num[jx] / den[jx]]
+            den[said] += 1
+            num[said[np.isin(said, jy)]] += 1
+            den[jy] += 1
+            met[said] = met[jy] = True
+        known = np.array(list(slot), np.int32)
+        own = met[: len(known)]
+        yield pa.RecordBatch.from_arrays([pa.array(known[own]), pa.array((num / den)[: len(known)][own])], names=["label", "threshold"])
+
+    return _fold(rows, epochs, fold, "label int, threshold double")
 
 
 def mixed_ofo(rows: DataFrame, priors: DataFrame, top: int = 1000, a: float = 10.0, b: float = 20.0, epochs: int = 1) -> DataFrame:
     """``label, threshold``: the macro one for the ``top`` most frequent labels, the micro one elsewhere."""
-    macro = macro_ofo(rows, a, b, epochs)
+    macro = write_stage(macro_ofo(rows, a, b, epochs), "ofo")
     micro = micro_ofo(rows, a, b, 1)
-    head = [r["label"] for r in priors.orderBy(F.col("prior").desc(), "label").limit(top).collect()]
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(int(x), float(macro.get(x, a / b))) for x in head], "label int, m double")
+    head = priors.orderBy(F.col("prior").desc(), "label").limit(top).select("label")
+    table = head.join(macro, "label", "left").select("label", F.coalesce("threshold", F.lit(a / b)).alias("m"))
     return priors.join(table, "label", "left").select("label", F.coalesce("m", F.lit(micro)).alias("threshold"))
 
 
