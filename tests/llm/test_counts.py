@@ -70,6 +70,16 @@ def test_pairs_of_rare_labels_are_kept_but_no_case(spark, tmp_path):
     assert [tuple(r) for r in p7_found(spark, str(tmp_path)).collect()] == [(1, 2)]
 
 
+def test_cases_are_labels_together_in_five_records(spark, tmp_path):
+    together = [[1, 2]] * 4 + [[3, 4]] * 5 + [[5, 6]] * 6  # 4, 5 and 6 times, at lifts of 5 or more
+    alone = [[1], [2], [3], [4], [7], [7], [7], [7], [7, 8], [8], [8], [8], [8]]
+    rows = [(i, None, y, None, 1) for i, y in enumerate(together + alone + [[]] * 12)]
+    _points(spark, rows).write.parquet(f"{tmp_path}/data_points.parquet")
+    pairs = {(r["label_a"], r["label_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"]) for r in p7_pairs(spark, str(tmp_path)).collect()}
+    assert pairs == {(1, 2): (4, 5, 5, 40), (3, 4): (5, 6, 6, 40), (5, 6): (6, 6, 6, 40), (7, 8): (1, 5, 5, 40)}
+    assert {tuple(r) for r in p7_found(spark, str(tmp_path)).collect()} == {(3, 4), (5, 6)}
+
+
 def test_top_n(spark):
     rows = [(1, 1, 7, 0.5, 1), (1, 1, 7, 0.9, 0), (1, 1, 8, 0.5, 1), (1, 1, 8, 0.5, 1), (1, 1, None, 9.0, 1), (1, 1, 9, None, 2), (1, 1, 9, 1.0, 1), (1, 1, 10, float("nan"), 1), (2, None, 1, 0.1, None)]
     rows += [(3, 5, i, (i % 11) / 10, 1) for i in range(500)]
