@@ -418,3 +418,31 @@ def test_thresholds_and_biases_of_a_model(spark):
     m.set_thresholds(None)
     b = spark.createDataFrame([(3, 5.0)], "label int, bias double")
     assert {r["label"] for r in m.predict_proba(x, top_k=1, labels_biases=b).collect()} == {3}
+
+
+def test_folds_of_label_blocks_read_the_rows_without_copies(spark, monkeypatch):
+    from thicket.operators import linear, train
+    from thicket.operators.linear import Csr
+
+    rng = np.random.default_rng(5)
+    n, k = 90, 30
+    feats = [sorted({-1, *rng.integers(0, 12, 3).tolist(), 100 + i, 300 + i // 2}) for i in range(n)]  # some end early
+    labels = [sorted(set(rng.integers(0, k, 2).tolist())) for _ in range(n)]
+    vals = [np.round(rng.normal(size=len(f)), 3).tolist() for f in feats]
+    d = spark.createDataFrame([(i, labels[i], list(zip(feats[i], vals[i]))) for i in rng.permutation(n).tolist()], "row_id long, labels array<int>, features array<struct<idx:int,val:double>>")
+    plans, write = {}, train.write_stage
+    monkeypatch.setattr(train, "write_stage", lambda df, name="stage": (plans.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    monkeypatch.setattr(train, "FOLD_WEIGHTS", 300)
+    x = Csr(np.concatenate(feats), np.concatenate(vals), np.array([len(f) for f in feats]))
+    for o in (TrainOptions(optimizer="adagrad", weights_threshold=0.05), TrainOptions(optimizer="sgd", epochs=2, tmax=130, l2=0.1, weights_threshold=0.05, loss="squaredHinge")):
+        models, weights = train.train_one_vs_rest(d, o)
+        assert "Exchange" not in plans["trained"]  # rows aren't copied to the blocks
+        got, seen = {}, {r["node_id"]: r["class_count"] for r in models.collect()}
+        for r in weights.collect():
+            assert got.setdefault(r["node_id"], {}).setdefault(r["idx"], r["w"]) == r["w"]
+        for label in {v for r in labels for v in r}:
+            y = np.array([float(label in r) for r in labels])
+            w = linear.online(x, y, o.optimizer, o.loss, o.eta, o.epochs, o.tmax, o.l2, o.adagrad_eps)[0]
+            want = {int(i): v for i, v in zip(x.cols, w) if abs(v) > o.weights_threshold or i == -1}
+            assert seen[label] == 2 and got[label].keys() == want.keys()
+            assert all(abs(got[label][i] - want[i]) < 1e-9 for i in want)
