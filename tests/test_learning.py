@@ -446,3 +446,26 @@ def test_folds_of_label_blocks_read_the_rows_without_copies(spark, monkeypatch):
             want = {int(i): v for i, v in zip(x.cols, w) if abs(v) > o.weights_threshold or i == -1}
             assert seen[label] == 2 and got[label].keys() == want.keys()
             assert all(abs(got[label][i] - want[i]) < 1e-9 for i in want)
+
+
+@pytest.mark.parametrize("solver,loss", [("L2R_L2LOSS_SVC", "logistic"), ("L2R_LR", "logistic")])
+def test_siblings_share_their_rows(spark, solver, loss, monkeypatch):
+    from thicket.operators import assign, train, trees
+
+    rng = np.random.default_rng(8)
+    n, k = 120, 14
+    labels = [sorted(set(rng.integers(0, k + 2, rng.integers(0, 4)).tolist())) for _ in range(n)]  # some without, some not in the tree
+    feats = [[(-1, 1.0), *((int(j), float(v)) for j, v in zip(rng.choice(15, 4, replace=False), rng.normal(size=4)))] for _ in range(n)]
+    d = write_stage(spark.createDataFrame(list(zip(range(n), labels, feats)), "row_id long, labels array<int>, features array<struct<idx:int,val:double>>"))
+    t, rows = write_stage(trees.complete_tree(spark, k, 4)), d.select("row_id", "features")
+    o = TrainOptions(solver=solver, loss=loss, weights_threshold=0.0, eps=1e-3, imbalance=True)
+    want = train_problems(assign.nodes_to_update(d, t), rows, o)
+    monkeypatch.setattr(train, "SLICE_ROWS", 30)
+    moved, write = {}, train.write_stage
+    monkeypatch.setattr(train, "write_stage", lambda df, name="stage": moved.setdefault(name, write(df, name)))
+    got = train.train_siblings(assign.sibling_groups(d, t), t, rows, o)
+    assert moved["groups"].count() * 2 < assign.nodes_to_update(d, t).count()
+    key = lambda m: {r["node_id"]: (r["class_count"], r["first_class"], r["n"], round(r["loss"], 4)) for r in m.collect()}
+    assert key(got[0]) == key(want[0])
+    a, b = ({(r["node_id"], r["idx"]): r["w"] for r in w.collect()} for w in (got[1], want[1]))
+    assert all(abs(a.get(x, 0.0) - b.get(x, 0.0)) < 1e-3 for x in a.keys() | b.keys())
